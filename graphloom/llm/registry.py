@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding
+from . import bpe, langid, licenses, quality, sharding
 
 QUERIES = {
     "op1_hash_tree_sharding": sharding.query,
     "op2_bpe_round_trip": bpe.query,
+    "op3_hyperdimensional_language_id": langid.query,
+    "op4_divergence_quality": quality.query,
+    "op5_diagonal_license_scan": licenses.query,
 }
 ORACLE_SQL: dict[str, str] = {}
