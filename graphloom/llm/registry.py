@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, langid, licenses, mixing, packing, quality, sharding
+from . import bpe, embeddings, jaccard, langid, licenses, mixing, packing, quality, sharding
 
 QUERIES = {
     "op1_hash_tree_sharding": sharding.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_hyperdimensional_language_id": langid.query,
     "op4_divergence_quality": quality.query,
     "op5_diagonal_license_scan": licenses.query,
+    "op6_ngram_jaccard_join": jaccard.query,
     "op7_hyperplane_near_duplicates": embeddings.query,
     "op8_pfair_mixing": mixing.query,
     "op10_packed_token_ids": packing.query,
