@@ -253,16 +253,18 @@ def text_column(ids: Column, path: str) -> Column:
 DIGEST = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def round_trip_column(text: Column, path: str) -> Column:
-    """struct(n_tokens, ids_sha256, decoded_sha256) of each text after encoding and decoding."""
+def round_trip_column(text: Column, path: str, with_ids: bool = False) -> Column:
+    """struct(n_tokens, ids_sha256, decoded_sha256[, ids]) of each text after encoding and decoding."""
 
-    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     def digest(col: pa.Array) -> pa.Array:
-        bpe, rows = load(path), []
+        bpe, rows, all_ids = load(path), [], [np.empty(0, np.int32)]
         texts = col.to_pylist()
         for a, b in pieces(texts):
             flat, offsets = bpe.encode_batch(texts[a:b])
             raw = flat.astype("<u4")
+            if with_ids:
+                all_ids.append(raw.view("<i4"))
             data = np.frombuffer(bpe.decode_bytes(flat), np.uint8)
             cut = np.concatenate([[0], np.cumsum(bpe.piece_len[flat])])[offsets]
             for i in range(b - a):
@@ -270,7 +272,12 @@ def round_trip_column(text: Column, path: str) -> Column:
                 decoded = data[cut[i] : cut[i + 1]].tobytes().decode("utf-8", "replace").encode("utf-8")
                 rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
         n, i, d = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], fields=list(DIGEST))
+        columns, fields = [pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], list(DIGEST)
+        if with_ids:
+            ends = np.concatenate([[0], np.cumsum(np.array(n, np.int64))]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids))))
+            fields.append(pa.field("ids", columns[-1].type))
+        return pa.StructArray.from_arrays(columns, fields=fields)
 
     return digest(text)
 
@@ -285,5 +292,11 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     return own.select("doc_id", "_d.n_tokens", "_d.ids_sha256", "_d.decoded_sha256")
 
 
+def token_rows(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """As ``encode_documents``, with the ids themselves (array<int>) for every document."""
+    own = docs.select("doc_id", round_trip_column(F.col("text"), path or tokenizer_path(), True).alias("_d"))
+    return own.select("doc_id", "_d.n_tokens", "_d.ids_sha256", "_d.decoded_sha256", "_d.ids")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,5 +1,5 @@
 """Shared pieces of the corpus operators: durable tables, gapless numbering,
-connected components, a bounded key filter and batch slicing.
+connected components and a bounded key filter.
 
 Lineage is cut with Parquet tables in the shared folder that the cluster names
 in ``spark.checkpoint.dir``; a lost executor therefore costs a re-read, never a
@@ -13,8 +13,6 @@ import contextlib
 import tempfile
 import uuid
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -136,35 +134,30 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("src").alias("id"), F.col("dst").alias("component")).union(roots)
 
 
-def maybe_in(df: DataFrame, column: Column, keys: DataFrame, bits: int = 24) -> DataFrame:
-    """Rows of ``df`` whose long key may be among ``keys`` (one long column), found with a bitmap.
+def maybe_mark(df: DataFrame, column: Column, keys: DataFrame, name: str, bits: int = 24) -> DataFrame:
+    """``df`` with a boolean: may its long key be among ``keys`` (one long column)?  False is certain.
 
-    The bitmap has 2**bits bits whatever the data: at most 2**(bits-6) rows of 16
-    bytes (4 MB) are broadcast.  False positives remain; callers join exactly
-    afterwards.  A full bitmap only makes the filter let everything pass.
+    A bitmap of 2**bits bits whatever the data: at most 2**(bits-6) rows of 16 bytes (4 MB)
+    are broadcast.  Callers join the rows that pass exactly afterwards; a full bitmap only makes
+    everything pass.
     """
     key = keys.columns[0]
-    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << bits))
-    words = (
-        keys.select(F.shiftright(slot, 6).alias("_w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), {1 << bits}) & 63 as int))").alias("_b"))
-        .groupBy("_w")
-        .agg(F.bit_or("_b").alias("_b"))
-    )
+    at = f"pmod(xxhash64({key}), {1 << bits})"
+    words = keys.select(F.expr(f"shiftright({at}, 6)").alias("_w"), F.expr(f"shiftleft(1L, cast({at} & 63 as int))").alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_b"))
     probe = df.withColumn("_s", F.pmod(F.xxhash64(column), F.lit(1 << bits)))
-    hit = probe.join(F.broadcast(words), F.shiftright(probe["_s"], 6) == words["_w"])
-    return hit.filter(F.expr("(shiftright(_b, cast(_s & 63 as int)) & 1L) = 1")).select(*[probe[c] for c in df.columns])
+    hit = probe.join(F.broadcast(words), F.shiftright(probe["_s"], 6) == words["_w"], "left")
+    return hit.select(*[probe[c] for c in df.columns], F.expr("coalesce((shiftright(_b, cast(_s & 63 as int)) & 1L) = 1, false)").alias(name))
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
-    """Cut a batch so that the named text column holds about ``limit`` bytes a piece (one row at least)."""
-    col = batch.column(batch.schema.get_field_index(column))
-    offsets = np.cumsum(np.concatenate([[0], pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)]))
-    start, n = 0, batch.num_rows
-    while start < n:
-        stop = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
-        stop = min(n, max(stop, start + 1))
-        yield batch.slice(start, stop - start)
-        start = stop
+def maybe_in(df: DataFrame, column: Column, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key may be among ``keys``; see ``maybe_mark``."""
+    return maybe_mark(df, column, keys, "_gl_maybe").filter("_gl_maybe").drop("_gl_maybe")
 
 
-import pyarrow.compute  # noqa: E402,F401  (makes pa.compute available)
+def without(df: DataFrame, column: Column, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key is not among ``keys`` (one long column); only rows that the bitmap cannot clear are joined."""
+    marked = maybe_mark(df, column, keys, "_gl_maybe")
+    unsure = marked.filter("_gl_maybe").withColumn("_gl_probe", column)
+    gone = keys.select(F.col(keys.columns[0]).alias("_gl_gone"))
+    unsure = unsure.join(gone, unsure["_gl_probe"] == gone["_gl_gone"], "left_anti")
+    return marked.filter("not _gl_maybe").select(*df.columns).union(unsure.select(*df.columns))

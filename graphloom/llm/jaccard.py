@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import pieces
-from .common import connected_components, durable, maybe_in, release
+from .common import connected_components, durable, maybe_in, maybe_mark, release, without
 
 WORDS = 5
 PERCENT = 80
@@ -258,7 +258,28 @@ def verify(pairs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, frequent: int = FREQUENT, max_frequent: int = MAX_FREQUENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of (doc_id, text).
+    """doc_id, n_shingles, component_id for every row of (doc_id, text); see ``vertices``."""
+    return vertices(docs, frequent, max_frequent).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id (a null one last); columns unchanged.
+
+    Rows without words are all kept.  Only rows that leave, and rows that occur more than once, are joined or shuffled.
+    """
+    key = "_gl_row"
+    found = durable(vertices(docs).select("doc_id", "row", "n", "root"), "vertices")
+    linked = found.filter("n > 0")
+    best = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("b"), F.count(F.lit(1)).alias("size"))
+    gone = linked.join(best.filter("size > 1").select("root", F.col("b.row").alias("stays")), "root").filter("row != stays").select("row").distinct()
+    again = durable(linked.groupBy("row").count().filter("count > 1").select("row"), "again")
+    kept = without(docs.withColumn(key, F.xxhash64("doc_id", "text")), F.col(key), durable(gone, "gone"))
+    marked = maybe_mark(kept, F.col(key), again, "_gl_again")
+    return marked.filter("not _gl_again").select(*docs.columns).union(marked.filter("_gl_again").dropDuplicates([key]).select(*docs.columns))
+
+
+def vertices(docs: DataFrame, frequent: int = FREQUENT, max_frequent: int = MAX_FREQUENT) -> DataFrame:
+    """doc_id, row (its 64-bit key), n, class, root (the component's class), component_id for every row of (doc_id, text).
 
     Every row is a vertex; rows with equal non-empty sets, and rows whose sets have 100 * intersection >=
     80 * union, are linked.  component_id is the smallest doc_id of the component (null doc_ids do not
@@ -310,9 +331,9 @@ def join(docs: DataFrame, frequent: int = FREQUENT, max_frequent: int = MAX_FREQ
     member = connected_components(links).select(F.col("id").alias("class"), F.col("component").alias("root"))
     least = full.groupBy("class").agg(F.min("doc_id").alias("least")).join(member, "class", "left").withColumn("root", F.coalesce("root", "class"))
     name = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    info = least.join(name, "root").select("class", "component_id")
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(info, "class", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    info = least.join(name, "root").select("class", "root", "component_id")
+    out = rows.select("doc_id", "row", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
+    return out.join(info, "class", "left")
 
 
 import pyarrow.compute  # noqa: E402,F401  (makes pa.compute available)

@@ -221,5 +221,17 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return own.select("doc_id", "held_out", F.col("_p.lang").alias("lang_pred"), F.col("_p.score").alias("score"))
 
 
+def accepted(docs: DataFrame, model: Model | None = None, min_score: float = 0.3) -> DataFrame:
+    """Rows of ``docs`` (columns unchanged) whose language is recognized: not ``und``, score at least ``min_score``.
+
+    With nothing to learn from (no labels), every text with a letter passes.
+    """
+    model = model or fit_documents(docs)
+    if not model.languages:
+        return docs.filter(F.expr(r"coalesce(regexp_like(text, '\\p{L}'), false)"))
+    judged = docs.withColumn("_gl_lang", predict_column(F.col("text"), model))
+    return judged.filter((F.col("_gl_lang.lang") != "und") & (F.col("_gl_lang.score") >= min_score)).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, jaccard, langid, licenses, mixing, packing, quality, sharding
+from . import bpe, embeddings, jaccard, langid, licenses, mixing, packing, quality, sharding, suffix
 
 QUERIES = {
     "op1_hash_tree_sharding": sharding.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_ngram_jaccard_join": jaccard.query,
     "op7_hyperplane_near_duplicates": embeddings.query,
     "op8_pfair_mixing": mixing.query,
+    "op9_run_length_repeats": suffix.query,
     "op10_packed_token_ids": packing.query,
 }
 ORACLE_SQL: dict[str, str] = {}
