@@ -33,7 +33,7 @@ WIDTH = 400
 GRAM = 32
 SEGMENT = 8 << 20
 BATCH = 2 << 20
-MANY = 512
+MANY = 4096  # contexts of about 600 bytes: as much as a batch
 PAD = 64
 
 _table = np.random.default_rng(4099).integers(1, 2**63, 256, np.int64).view(np.uint64)
