@@ -13,6 +13,7 @@ import contextlib
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,6 +58,15 @@ def durable(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def cached(df: DataFrame) -> DataFrame:
+    """Keep the result of one narrow scan on the executors' disks for the jobs that follow.
+
+    Lineage stays: a lost executor costs a new scan of its partitions.  The cache goes with the session
+    or ``spark.catalog.clearCache()``.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete durable tables that no pending result reads any more."""
     for t in tables:
@@ -80,11 +90,11 @@ def gapless_index(df: DataFrame, groups: list[str], order: list[str], name: str)
     share is counted, and the counts' running totals are added to a local
     ``row_number``.  Ties (and repeated rows) get distinct numbers.
     """
-    narrow = durable(df.withColumn("_gl_tie", F.monotonically_increasing_id()), "narrow")
+    narrow = cached(df.withColumn("_gl_tie", F.monotonically_increasing_id()))
     ranged = durable(
         narrow.repartitionByRange(*groups, *order, "_gl_tie").withColumn("_gl_part", F.spark_partition_id()), "ranged"
     )
-    release(narrow)
+    narrow.unpersist()
     counts = ranged.groupBy(*groups, "_gl_part").agg(F.count(F.lit(1)).alias("_gl_n"))
     before = W.partitionBy(*groups).orderBy("_gl_part").rowsBetween(W.unboundedPreceding, -1)
     base = counts.select(*groups, "_gl_part", F.coalesce(F.sum("_gl_n").over(before), F.lit(0)).alias("_gl_base"))

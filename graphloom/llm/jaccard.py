@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import pieces
-from .common import connected_components, durable, maybe_in, maybe_mark, release, without
+from .common import cached, connected_components, durable, maybe_in, maybe_mark, release, without
 
 WORDS = 5
 PERCENT = 80
@@ -252,7 +252,7 @@ def verify(pairs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
     centres = fan.join(sets, fan["src"] == sets["class"]).select("src", F.explode(F.expr("sequence(0, fan - 1)")).alias("salt"), F.lit(0).alias("tag"), F.col("src").alias("dst"), "shingles")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = centres.union(partners).repartition(n, "src", "salt").sortWithinPartitions("src", "salt", "tag")
-    links = durable(met.mapInArrow(compare, "src long, dst long"), "links")
+    links = durable(met.mapInArrow(compare, "src long, dst long").hint("rebalance"), "links")
     release(keys, sets)
     return links
 
@@ -289,9 +289,9 @@ def vertices(docs: DataFrame, frequent: int = FREQUENT, max_frequent: int = MAX_
     """
     own = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = durable(own.mapInArrow(profile, f"doc_id {kind}, row long, n long, class long, prefix array<long>"), "rows")
+    rows = cached(own.mapInArrow(profile, f"doc_id {kind}, row long, n long, class long, prefix array<long>"))
     full = rows.filter("n > 0")
-    classes = durable(full.groupBy("class").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
+    classes = cached(full.groupBy("class").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")))
 
     # contraction: near copies through their smallest hashes
     low = classes.select("class", "n", F.size("prefix").alias("p"), F.explode(F.slice("prefix", 1, BOTTOM)).alias("token"))

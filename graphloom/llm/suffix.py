@@ -27,11 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, maybe_in, maybe_mark, release
+from .common import cached, durable, maybe_in, maybe_mark
 
 WIDTH = 400
 GRAM = 32
-SEGMENT = 8 << 20
+SEGMENT = 2 << 20
 BATCH = 2 << 20
 MANY = 4096  # contexts of about 600 bytes: as much as a batch
 PAD = 64
@@ -98,7 +98,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def work_units(offsets: np.ndarray, width: int, limit: int = 4 << 20):
+def work_units(offsets: np.ndarray, width: int, limit: int = 1 << 20):
     """(number of the first text, starts, ends, base): runs of texts, or overlapping segments of a long one."""
     sizes = np.diff(offsets)
     i, n = 0, len(sizes)
@@ -326,10 +326,9 @@ def repeated_windows(own: DataFrame, width: int = WIDTH, many: int = MANY) -> Da
     spark = own.sparkSession
     texts = own.select("row", "text")
     long = texts.filter(F.octet_length("text") >= width)
-    anchors = durable(long.mapInArrow(anchors_of(width), "row long, anchor long, first int, windows int, c1 long, c2 long"), "anchors")
+    anchors = cached(long.mapInArrow(anchors_of(width), "row long, anchor long, first int, windows int, c1 long, c2 long"))
     twice = durable(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("anchor"), "twice")
     live = durable(maybe_in(anchors, F.col("anchor"), twice).join(twice, "anchor"), "live")
-    release(anchors)
     kinds = durable(live.groupBy("anchor", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "windows")).alias("x")), "kinds")
     whole = live.join(kinds.filter("n > 1").select("anchor", "c1", "c2"), ["anchor", "c1", "c2"])
     marks = whole.select("row", F.col("first").alias("since"), (F.col("first") + F.col("windows")).alias("until"))
