@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 
 from .bpe import pieces
 
-SYMBOLS = 256
+SYMBOLS = 128
 SEED = 20240229
 
 
 @functools.lru_cache(maxsize=1)
 def letter_symbols() -> np.ndarray:
-    """Code point -> symbol: 0 no letter, 1-26 a-z, 27-187 U+00DF-U+017F, 188-255 hashed."""
+    """Code point -> symbol: 0 no letter, 1-26 a-z, 27-59 U+00DF-U+00FF, 60-127 hashed."""
     out = np.zeros(0x110000, np.uint8)
     for cp in range(0x110000):
         c = chr(cp)
@@ -41,10 +41,10 @@ def letter_symbols() -> np.ndarray:
             low = ord(c.lower()[0])
             if 0x61 <= low <= 0x7A:
                 out[cp] = low - 0x60
-            elif 0xDF <= low <= 0x17F:
+            elif 0xDF <= low <= 0xFF:
                 out[cp] = 27 + low - 0xDF
             else:
-                out[cp] = 188 + (low * 2654435761 >> 7) % 68
+                out[cp] = 60 + (low * 2654435761 >> 7) % 68
     return out
 
 
@@ -56,7 +56,7 @@ def letter_vectors(dim: int) -> np.ndarray:
 def gram_vectors(codes: np.ndarray, dim: int) -> np.ndarray:
     """Bound vectors of trigram codes."""
     v = letter_vectors(dim)
-    a, b, c = codes >> 16, codes >> 8 & 255, codes & 255
+    a, b, c = codes >> 14, codes >> 7 & 127, codes & 127
     return np.roll(v, 2, axis=1)[a] * np.roll(v, 1, axis=1)[b] * v[c]
 
 
@@ -72,7 +72,7 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     if len(sym) < 3:
         return np.empty(0, np.int32), np.empty(0, np.int64)
     inside = np.flatnonzero(sym[1:-1])
-    code = (sym[:-2] << 16 | sym[1:-1] << 8 | sym[2:])[inside]
+    code = (sym[:-2] << 14 | sym[1:-1] << 7 | sym[2:])[inside]
     # the boundary before a text's first letter is the last place of the text before
     return code, doc[1:-1][inside]
 
@@ -81,7 +81,7 @@ class GramIndex:
     """Trigram code -> compact number, assigned as codes appear."""
 
     def __init__(self):
-        self.slot = np.full(1 << 24, -1, np.int32)
+        self.slot = np.full(1 << 21, -1, np.int32)
         self.codes = np.empty(0, np.int32)
 
     def __call__(self, codes: np.ndarray) -> np.ndarray:
@@ -136,7 +136,7 @@ class Scorer:
         return [self.model.languages[b] if k else "und" for b, k in zip(best, n, strict=True)], score
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def scorer(model: Model) -> Scorer:
     return Scorer(model)
 

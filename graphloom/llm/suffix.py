@@ -32,8 +32,8 @@ from .common import cached, durable, maybe_in, maybe_mark
 WIDTH = 400
 GRAM = 32
 SEGMENT = 2 << 20
-BATCH = 2 << 20
-MANY = 4096  # contexts of about 600 bytes: as much as a batch
+BATCH = 1 << 19
+MANY = 4096  # contexts of about 600 bytes: an index of 2.5 MB
 PAD = 64
 
 _table = np.random.default_rng(4099).integers(1, 2**63, 256, np.int64).view(np.uint64)
@@ -142,25 +142,30 @@ def anchors_of(width: int):
 def suffix_order(symbols: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, ranks) of the text to at least ``depth`` symbols, groups apart; equal prefixes share a rank."""
     n = len(symbols)
-    wide = np.concatenate([symbols.astype(np.int64), np.zeros(8, np.int64)])
+    wide = np.concatenate([symbols, np.zeros(8, symbols.dtype)])
     key = np.zeros(n, np.int64)
     for j in range(7):
-        key = key << 9 | wide[j : j + n]
+        key <<= 9
+        key |= wide[j : j + n]
 
     def ranked(key):
         order = np.argsort(key)
-        k = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.append(1, k[1:] != k[:-1]))
-        return order, rank
+        key = key[order]
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(np.append(1, key[1:] != key[:-1]), dtype=np.int32)
+        return order.astype(np.int32), rank
 
     _, rank = ranked(key)
-    order, rank = ranked(group * (n + 1) + rank)
+    key = group.astype(np.int64)
+    key *= n + 1
+    key += rank
+    order, rank = ranked(key)
     done = 7
     while done < depth and rank[order[-1]] < n:
-        ahead = np.zeros(n, np.int64)
-        ahead[: max(0, n - done)] = rank[done:]
-        order, rank = ranked(rank * (n + 1) + ahead)
+        key[:] = rank
+        key *= n + 1
+        key[: max(0, n - done)] += rank[done:]
+        order, rank = ranked(key)
         done *= 2
     return order, rank
 
@@ -195,7 +200,7 @@ def repeated_starts(texts: list[bytes], groups: np.ndarray, width: int = WIDTH)
     for j in range(PAD):
         inside[offsets[1:] - 1 - j] = False
     symbols = np.where(inside, raw.astype(np.int16) + 1, 0)
-    group = np.repeat(np.asarray(groups, np.int64), sizes)
+    group = np.repeat(np.asarray(groups, np.int32), sizes)
     order, rank = suffix_order(symbols, group, width)
     n = len(symbols)
     count = np.bincount(rank, minlength=n + 2)
@@ -206,22 +211,22 @@ def repeated_starts(texts: list[bytes], groups: np.ndarray, width: int = WIDTH)
     bwt, head = previous[order], start[order]
     after_tie = ~tied & np.concatenate([[False], tied[:-1]])
     found = tied.copy()
-    place = np.arange(n)
+    place = np.arange(n, dtype=np.int32)
     for step in (1, -1):
         suffix, neighbour = (order[1:], order[:-1]) if step == 1 else (order[:-1], order[1:])
         changes = bwt[1:] != bwt[:-1]  # a run of the transform ends between the two
         sampled = changes | head[1:] | head[:-1] | after_tie[suffix]
         s, t = suffix[sampled], neighbour[sampled]
         length = np.where(group[s] == group[t], match_length(symbols, s, t), 0)
-        reach = np.zeros(n, np.int64)
+        reach = np.zeros(n, np.int32)
         reach[s] = length
         edge = order[0] if step == 1 else order[-1]
-        last = np.full(n, -1, np.int64)
+        last = np.full(n, -1, np.int32)
         last[s], last[edge] = s, edge
         last[offsets[:-1]] = offsets[:-1]
         last = np.maximum.accumulate(last)
         found |= reach[last] - (place - last) >= width
-    left = np.repeat(offsets[1:] - PAD, sizes) - place
+    left = np.repeat((offsets[1:] - PAD).astype(np.int32), sizes) - place
     return found & (left >= width), offsets
 
 
