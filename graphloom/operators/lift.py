@@ -15,6 +15,7 @@ from graphloom.functions import literals as L
 from graphloom.plans.model import Binding, Conversion, Plan
 from graphloom.plans.rdf import BOOLEAN, DATE, DATETIME, DECIMAL, DOUBLE, INTEGER, INTEGER_RANGES, STRING, Prefixes
 from graphloom.plans.typed import Val
+from graphloom.sources.rows import number_rows
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -128,7 +129,16 @@ def list_cell(col: Column, kind: T.DataType, b: Binding, prefixes: Prefixes, bin
     return Val("list", F.filter(made, lambda x: x.isNotNull()), item=item)
 
 
-def bind(df: DataFrame, b: Binding, prefixes: Prefixes, bind_empty: bool) -> Val:
+def wants_row_number(plan: Plan, columns: list[str]) -> bool:
+    return "ROWNUM" not in columns and any(b.column == "ROWNUM" for b in plan.bindings)
+
+
+def bind(df: DataFrame, b: Binding, prefixes: Prefixes, bind_empty: bool, row_number: str | None = None) -> Val:
+    if b.column == "ROWNUM" and b.column not in df.columns and row_number is not None:
+        text = F.col(f"`{row_number}`").cast("string")
+        if b.conversion.kind == "typed":
+            return Val("lit", text, b.conversion.argument, safe=True)
+        return Val("lit", text, INTEGER, safe=True)
     if b.column not in df.columns:
         null = F.lit(None).cast("array<string>" if b.depth else "string")
         how = Val("iri", null) if b.conversion.kind == "iri" else Val("lit", null, b.conversion.argument if b.conversion.kind == "typed" else STRING, b.conversion.argument if b.conversion.kind == "lang" else None)
@@ -161,12 +171,14 @@ def record_label(df: DataFrame, row_id: str | None) -> Column:
     return F.md5(F.coalesce(F.col(f"`{row_id}`").cast("string"), F.lit("")))
 
 
-def lift_columns(df: DataFrame, plan: Plan, bind_empty: bool = False, row_id: str | None = None) -> tuple[DataFrame, dict[str, Val], Column | None]:
+def lift_columns(df: DataFrame, plan: Plan, bind_empty: bool = False, row_id: str | None = None, row_number: str | None = None) -> tuple[DataFrame, dict[str, Val], Column | None]:
     """(rows with one column for each variable, the variables, which rows are left out)."""
-    check_columns(plan.bindings, df.columns)
+    if wants_row_number(plan, df.columns) and row_number is None:
+        df, row_number = number_rows(df, "_gl_rownum"), "_gl_rownum"
+    check_columns([b for b in plan.bindings if b.column != "ROWNUM"], df.columns)
     found, columns = {}, [record_label(df, row_id).alias("_record")]
     for i, b in enumerate(plan.bindings):
-        v = bind(df, b, plan.prefixes, bind_empty)
+        v = bind(df, b, plan.prefixes, bind_empty, row_number)
         columns.append(v.text.alias(f"_v{i}"))
         found[b.var] = Val(v.kind, F.col(f"_v{i}"), v.datatype, v.lang, v.item, safe=v.safe)
     tests = [t for v in found.values() if (t := invalid(v)) is not None]

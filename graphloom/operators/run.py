@@ -62,7 +62,7 @@ def triples(
 
         rows, values = lift_query(df, plan, bind_empty, row_id, row_number)
     else:
-        rows, values, bad = lift_columns(df, plan, bind_empty, row_id)
+        rows, values, bad = lift_columns(df, plan, bind_empty, row_id, row_number)
         if bad is not None:
             rows = rows.filter(~bad)
         for name in sorted(plan.mandatory):
