@@ -116,6 +116,12 @@ class Shaper:
         number = f"l{self.lists}"
         node = lambda i: F.concat(F.lit("_:"), self.label(number, place.path), F.lit("_"), i.cast("string"))
         items, nil = o.text, F.lit(f"<{NIL}>")
+        every = items.isNotNull() & subject.isNotNull() & predicate.isNotNull()
+        for c in conditions:
+            every = every & c
+        if o.native is not None:  # the collection was built from the cell, with any nesting
+            first = F.struct(subject.alias("subject"), predicate.alias("predicate"), o.native["head"].alias("object"))
+            return F.when(every, F.concat(F.array(first), o.native["links"])).otherwise(F.array().cast(f"array<{TRIPLE}>"))
         struct = lambda a, b, c: F.struct(a.alias("subject"), b.alias("predicate"), c.alias("object"))
         head = F.when(F.size(items) == 0, nil).otherwise(node(F.lit(0)))
 
@@ -131,9 +137,6 @@ class Shaper:
             return F.array(*links)
 
         made = F.concat(F.array(struct(subject, predicate, head)), F.flatten(F.transform(items, chain)))
-        every = items.isNotNull() & subject.isNotNull() & predicate.isNotNull()
-        for c in conditions:
-            every = every & c
         return F.when(every, made).otherwise(F.array().cast(f"array<{TRIPLE}>"))
 
     def repeat(self, r: Repeat, place: Place, values: dict[str, Val]) -> Column | None:

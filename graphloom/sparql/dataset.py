@@ -90,7 +90,7 @@ class Dataset:
             elif kind == "optional":
                 own = [x for x in e[1] if x[0] != "filter"]
                 conditions = [x[1] for x in e[1] if x[0] == "filter"]
-                df = self.join(df, certain, *self.group(own), left=True, conditions=conditions)
+                df = self.join(df, certain, *self.group(own), left_join=True, conditions=conditions)
             else:
                 right, sure = self.element(e)
                 df = self.join(df, certain, right, sure)
@@ -191,8 +191,7 @@ class Dataset:
             found, names = found.filter("a = b"), names[:1]
         return found.select(*[F.col(c).alias(n) for c, n in names]), {n for _, n in names}
 
-    def join(self, left: DataFrame, sure_left: set[str], right: DataFrame, sure_right: set[str], left_join: bool = False, conditions=(), **kw) -> DataFrame:
-        left_join = left_join or kw.get("left", False)
+    def join(self, left: DataFrame, sure_left: set[str], right: DataFrame, sure_right: set[str], left_join: bool = False, conditions=()) -> DataFrame:
         shared = [n for n in left.columns if n in right.columns]
         if left_join and conditions:
             return self.left_join(left, right, shared, conditions)
