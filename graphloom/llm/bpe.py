@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import text_slices
+
 #: Fixed value: the vocabulary's word pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_RANK = np.iinfo(np.int64).max
@@ -60,7 +62,7 @@ class NumpyBPE:
     ``table_symbols`` bounds the per-task word table (symbols kept before it is emptied).
     """
 
-    def __init__(self, path: str, table_symbols: int = 4_000_000):
+    def __init__(self, path: str, table_symbols: int = 1_000_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, symbols = spec["model"]["vocab"], byte_symbols()
@@ -208,28 +210,14 @@ def load(path: str) -> NumpyBPE:
     return NumpyBPE(path)
 
 
-def pieces(texts: list[str | None], limit: int = 4 << 20):
-    """(start, stop) of runs of texts of about ``limit`` characters."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > start and size + n > limit:
-            yield start, i
-            start = i
-            size = 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def ids_column(text: Column, path: str) -> Column:
     """array<int> of token ids (null text: empty array)."""
 
     @F.arrow_udf("array<int>")
     def ids(col: pa.Array) -> pa.Array:
-        bpe, texts, flats, sizes = load(path), col.to_pylist(), [], []
-        for a, b in pieces(texts):
-            flat, offsets = bpe.encode_batch(texts[a:b])
+        bpe, flats, sizes = load(path), [], []
+        for _, _, texts in text_slices(col):
+            flat, offsets = bpe.encode_batch(texts)
             flats.append(flat)
             sizes.append(np.diff(offsets))
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes) if sizes else [])]).astype(np.int32)
@@ -259,9 +247,8 @@ def round_trip_column(text: Column, path: str, with_ids: bool = False) -> Column
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     def digest(col: pa.Array) -> pa.Array:
         bpe, rows, all_ids = load(path), [], [np.empty(0, np.int32)]
-        texts = col.to_pylist()
-        for a, b in pieces(texts):
-            flat, offsets = bpe.encode_batch(texts[a:b])
+        for a, b, texts in text_slices(col):
+            flat, offsets = bpe.encode_batch(texts)
             raw = flat.astype("<u4")
             if with_ids:
                 all_ids.append(raw.view("<i4"))

@@ -9,10 +9,14 @@ wrong result.  Nothing here collects per-document data to the driver.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import contextlib
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -171,3 +175,26 @@ def without(df: DataFrame, column: Column, keys: DataFrame) -> DataFrame:
     gone = keys.select(F.col(keys.columns[0]).alias("_gl_gone"))
     unsure = unsure.join(gone, unsure["_gl_probe"] == gone["_gl_gone"], "left_anti")
     return marked.filter("not _gl_maybe").select(*df.columns).union(unsure.select(*df.columns))
+
+
+def text_slices(col: pa.Array, limit: int = 2 << 20):
+    """(start, stop, texts) of runs of a text column of about ``limit`` bytes (one text at least).
+
+    Only one run is in memory as Python strings; freed memory goes back to the system after the last.
+    """
+    sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    start, n = 0, len(col)
+    while start < n:
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield start, stop, col.slice(start, stop - start).to_pylist()
+        start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that the allocators hold but do not use."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

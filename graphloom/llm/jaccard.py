@@ -26,8 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import pieces
-from .common import cached, connected_components, durable, maybe_in, maybe_mark, release, without
+from .common import cached, connected_components, durable, maybe_in, maybe_mark, release, text_slices, without
 
 WORDS = 5
 PERCENT = 80
@@ -101,9 +100,8 @@ def class_ids(sets: list[np.ndarray]) -> list[int]:
 def profile(batches):
     """(doc_id, row, text) -> (doc_id, row, n, class, prefix under the hash order)."""
     for batch in batches:
-        texts = batch.column(2).to_pylist()
-        for a, b in pieces(texts):
-            sets = shingle_sets(texts[a:b])
+        for a, b, texts in text_slices(batch.column(2)):
+            sets = shingle_sets(texts)
             n = np.array([len(s) for s in sets], np.int64)
             keep = n - needed(n) + 1
             prefix = [s[: max(0, k)] if len(s) else s for s, k in zip(sets, keep.tolist(), strict=True)]
@@ -116,9 +114,8 @@ def profile(batches):
 def whole_sets(batches):
     """(class, text) -> (class, whole set)."""
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for a, b in pieces(texts):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists(shingle_sets(texts[a:b]))], ["class", "shingles"])
+        for a, b, texts in text_slices(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists(shingle_sets(texts))], ["class", "shingles"])
 
 
 def repeated_columns(batches):
@@ -139,10 +136,9 @@ def reordered(frequent: np.ndarray):
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in pieces(texts):
+            for _, _, texts in text_slices(batch.column(0)):
                 sets, n, rare, often = [], [], [], []
-                for s in shingle_sets(texts[a:b]):
+                for s in shingle_sets(texts):
                     if not len(s):
                         continue
                     keep = len(s) - int(needed(len(s))) + 1
@@ -179,7 +175,7 @@ def block_product(batches):
         for g in np.unique(size[size > 1]).tolist():
             at = start[size == g]
             for i in range(g - 1):  # a row against all later ones of its token
-                step = max(1, 2_000_000 // (g - i))
+                step = max(1, 500_000 // (g - i))
                 for k in range(0, len(at), step):
                     left = np.repeat(at[k : k + step] + i, g - 1 - i)
                     right = (at[k : k + step, None] + np.arange(i + 1, g)[None, :]).ravel()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import pieces
+from .common import text_slices
 
 SYMBOLS = 128
 SEED = 20240229
@@ -156,9 +156,9 @@ def fit(rows: DataFrame, dim: int = 4096, max_train_docs: int = 100_000) -> Mode
     def bundle(batches):
         index, counts = GramIndex(), {}
         for batch in batches:
-            texts, langs = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), object)
-            for a, b in pieces(texts):
-                code, doc = trigrams(texts[a:b])
+            langs = np.array(batch.column(1).to_pylist(), object)
+            for a, b, texts in text_slices(batch.column(0)):
+                code, doc = trigrams(texts)
                 at, here = index(code), langs[a:b]
                 for lang in set(here):
                     got = np.bincount(at[(here == lang)[doc]], minlength=len(index.codes))
@@ -190,9 +190,9 @@ def predict_column(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("lang string, score double")
     def predict(col: pa.Array) -> pa.Array:
-        texts, langs, scores = col.to_pylist(), [], [np.empty(0)]
-        for a, b in pieces(texts):
-            lang, score = scorer(model).predict(texts[a:b])
+        langs, scores = [], [np.empty(0)]
+        for _, _, texts in text_slices(col):
+            lang, score = scorer(model).predict(texts)
             langs += lang
             scores.append(score)
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores), pa.float64())], ["lang", "score"])

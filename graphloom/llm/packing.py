@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import text_slices
 
 LENGTH = 2048
 PAD = 50256
@@ -116,7 +117,7 @@ def pack_rows(docs: list, flat: np.ndarray, offsets: np.ndarray, length: int, pa
     )
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, pad: int = PAD, group_tokens: int = 3_000_000) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, pad: int = PAD, group_tokens: int = 1_000_000) -> DataFrame:
     """Packed rows of all documents (columns doc_id, text).
 
     ids and position_ids are little-endian matrices of ``length`` numbers a row, 16 bits wide if the
@@ -144,9 +145,9 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, pad: in
                 yield out.slice(i, 1000)
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in bpe.pieces(texts):
-                flat, offsets = model.encode_batch(texts[a:b])
+            doc_ids = batch.column(0).to_pylist()
+            for a, b, texts in text_slices(batch.column(1)):
+                flat, offsets = model.encode_batch(texts)
                 ids.extend(doc_ids[a:b])
                 flats.append(flat)
                 ends.append(offsets[1:] + held)

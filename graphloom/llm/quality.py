@@ -22,12 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import pieces
+from .common import text_slices
 
 SPACES = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
 CLASSES = 7  # lower, upper, other letter, digit, white space, punctuation, the rest
-FLUSH = 400_000
+FLUSH = 200_000
 
 
 @dataclass(frozen=True)
@@ -137,9 +137,9 @@ def learn(docs: DataFrame, limits: Limits = Limits()) -> References:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c), pa.array(d, pa.int64())], ["lang", "kind", "item", "n"])
 
         for batch in batches:
-            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in pieces(texts):
-                for lang, row, text in zip(langs[a:b], class_histograms(texts[a:b]), texts[a:b], strict=True):
+            langs = batch.column(1).to_pylist()
+            for a, b, texts in text_slices(batch.column(0)):
+                for lang, row, text in zip(langs[a:b], class_histograms(texts), texts, strict=True):
                     classes[lang] += row
                     counts[lang].update(text.encode("utf-8", "surrogatepass").split())
                 if sum(map(len, counts.values())) > FLUSH:
@@ -188,7 +188,7 @@ class Judge:
     def form(self, word: bytes) -> str:
         got = self.forms.get(word)
         if got is None:
-            if len(self.forms) > 500_000:
+            if len(self.forms) > 200_000:
                 self.forms.clear()
             got = self.forms[word] = bare(word)
         return got
@@ -233,9 +233,9 @@ def quality_column(text: Column, lang: Column, refs: References, limits: Limits
 
     @F.arrow_udf(TYPE)
     def rate(text: pa.Array, lang: pa.Array) -> pa.Array:
-        texts, langs, rows = text.to_pylist(), lang.to_pylist(), []
-        for a, b in pieces(texts):
-            rows += judge(refs, limits).rows(texts[a:b], langs[a:b])
+        langs, rows = lang.to_pylist(), []
+        for a, b, texts in text_slices(text):
+            rows += judge(refs, limits).rows(texts, langs[a:b])
         columns = list(zip(*rows, strict=True)) if rows else [[]] * len(FIELDS)
         return pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, FIELDS, strict=True)], [f for f, _ in FIELDS])
 

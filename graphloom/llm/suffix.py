@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cached, durable, maybe_in, maybe_mark
+from .common import cached, durable, give_back, maybe_in, maybe_mark
 
 WIDTH = 400
 GRAM = 32
@@ -135,6 +135,7 @@ def anchors_of(width: int):
                     [pa.array(rows[i + text]), pa.array(anchor.view(np.int64)), pa.array(local.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(c[:, 0]), pa.array(c[:, 1])],
                     ["row", "anchor", "first", "windows", "c1", "c2"],
                 )
+            give_back()
 
     return run
 
@@ -292,6 +293,7 @@ def compare_contexts(width: int):
                     held, size = [], 0
                 held.append(item)
                 size += len(item[5])
+            give_back()
         if held and (out := settle(held)) is not None:
             yield out
 
