@@ -376,9 +376,10 @@ class BottrResult:
     left_out: DataFrame  # map, row, message
 
 
-def run_map(spark: SparkSession, library: Library, m: InstanceMap, number: int) -> tuple[DataFrame, DataFrame]:
+def run_map(spark: SparkSession, library: Library, m: InstanceMap, number: int, given: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(triples, what was left out) of one map; ``given`` stands for its source, with text columns in the arguments' order."""
     template = library.get(m.template)
-    rows, terms = source_rows(spark, m)
+    rows, terms = (given.toDF(*[f"c{i}" for i in range(len(given.columns))]), False) if given is not None else source_rows(spark, m)
     if len(rows.columns) != len(template.parameters):
         raise MapError(f"the query gives {len(rows.columns)} columns, but the template takes {len(template.parameters)}")
     arguments = m.arguments if m.arguments is not None else [ArgumentMap() for _ in template.parameters]

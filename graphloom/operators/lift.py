@@ -171,7 +171,7 @@ def record_label(df: DataFrame, row_id: str | None) -> Column:
     return F.md5(F.coalesce(F.col(f"`{row_id}`").cast("string"), F.lit("")))
 
 
-def lift_columns(df: DataFrame, plan: Plan, bind_empty: bool = False, row_id: str | None = None, row_number: str | None = None) -> tuple[DataFrame, dict[str, Val], Column | None]:
+def lift_columns(df: DataFrame, plan: Plan, bind_empty: bool = False, row_id: str | None = None, row_number: str | None = None, keep: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, Val], Column | None]:
     """(rows with one column for each variable, the variables, which rows are left out)."""
     if wants_row_number(plan, df.columns) and row_number is None:
         df, row_number = number_rows(df, "_gl_rownum"), "_gl_rownum"
@@ -182,7 +182,7 @@ def lift_columns(df: DataFrame, plan: Plan, bind_empty: bool = False, row_id: st
         columns.append(v.text.alias(f"_v{i}"))
         found[b.var] = Val(v.kind, F.col(f"_v{i}"), v.datatype, v.lang, v.item, safe=v.safe)
     tests = [t for v in found.values() if (t := invalid(v)) is not None]
-    return df.select(*columns), found, functools.reduce(operator.or_, tests) if tests else None
+    return df.select(*[F.col(k) for k in keep], *columns), found, functools.reduce(operator.or_, tests) if tests else None
 
 
 def left_out(df: DataFrame, plan: Plan, bind_empty: bool = False, row_number: Column | None = None) -> DataFrame:

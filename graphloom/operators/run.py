@@ -69,3 +69,12 @@ def triples(
             if name in values:
                 rows = rows.filter(values[name].bound)
     return emit(rows, Shaper(F.col("_record"), values).triples(root), distinct_in_row)
+
+
+def triples_with(plan: Plan, df: DataFrame, row_id: str, column: str) -> DataFrame:
+    """Triples with a column of the input beside them (an event time, for a watermark)."""
+    rows, values, bad = lift_columns(df.withColumn("_gl_kept", F.col(f"`{column}`")), plan, False, row_id, None, keep=("_gl_kept",))
+    if bad is not None:
+        rows = rows.filter(~bad)
+    made = Shaper(F.col("_record"), values).triples(plan.root)
+    return rows.select(F.col("_gl_kept").alias(column), F.inline(F.array_distinct(made)))

@@ -21,7 +21,7 @@ from graphloom.operators.lift import record_label
 from graphloom.plans.model import Block, BNodePat, ConstPat, Pattern, Plan, VarPat
 from graphloom.plans.rdf import FIRST, INTEGER, NIL, REST, BNode, Prefixes, Var, parse_nt_term
 from graphloom.plans.rdf import IRI as Iri
-from graphloom.plans.typed import Val, constant, dyn, plain_text, render, same_kind, string
+from graphloom.plans.typed import DYN, Val, constant, dyn, plain_text, render, same_kind, string
 
 from .dataset import Dataset, parsed, sort_keys
 from .syntax import Query, QueryParser, Select
@@ -409,60 +409,70 @@ def solutions_in_row(rows: DataFrame, values: dict[str, Val], steps: list, s: Se
         kept = [x[n].alias(n) for n in shape if n not in fresh]
         return F.struct(tag.alias("_solution"), *kept, *[v.text.alias(n) for n, v in fresh.items()])
 
-    for step in steps:
-        kind = step[0]
-        if kind == "filter":
-            continue
-        if kind == "bind":
-            plain = lambda v: dyn(v) if isinstance(v.lang, Column) else v
-            sample: dict = {}
+    def bound(step):
+        sample: dict[str, Val] = {}
 
-            def one(x, step=step, sample=sample):
-                sample["v"] = plain(runner.context(view(x), x["_solution"]).compile(step[1]))
-                return extended(x, {step[2]: sample["v"]}, None)
+        def one(x: Column) -> Column:
+            v = runner.context(view(x), x["_solution"]).compile(step[1])
+            sample[step[2]] = dyn(v) if isinstance(v.lang, Column) else v
+            return extended(x, sample, None)
 
-            array = F.transform(array, one)
-            shape[step[2]] = sample["v"]
-        elif kind == "property":
-            made: dict = {}
+        return F.transform(array, one), sample
 
-            def many(x, step=step, made=made):
-                found, binds, test = runner.property_step(step, view(x))
+    def computed(step):
+        made: dict[str, Val] = {}
 
-                def element(y, i):
-                    fresh = {n: make(y) for n, make in binds.items()}
-                    made.update(fresh)
-                    return F.when(test(y), extended(x, fresh, i))
+        def many(x: Column) -> Column:
+            found, binds, test = runner.property_step(step, view(x))
 
-                return F.array_compact(F.transform(found, element))
+            def element(y: Column, i: Column) -> Column:
+                fresh = {n: make(y) for n, make in binds.items()}
+                made.update(fresh)
+                return F.when(test(y), extended(x, fresh, i))
 
-            array = F.flatten(F.transform(array, many))
-            shape.update(made)
-        elif kind == "minus":
-            raise QueryError("MINUS cannot stand with modifiers")
-        else:
-            made = {}
-
-            def joined(x, step=step, made=made):
-                found, fields, constants, left = runner.generator(step, view(x), x["_solution"])
-                before = view(x)
-
-                def element(y, i):
-                    fresh = {n: runner.bound_from(n, y, constants, before) for n in fields}
-                    made.update(fresh)
-                    return extended(x, fresh, i)
-
-                out = F.transform(found, element)
-                if left:
-                    empty = {n: before.get(n) or Val(v.kind, F.lit(None).cast("string" if v.kind != "dyn" else "struct<k:string,v:string,dt:string,lang:string>"), v.datatype, v.lang) for n, v in made.items()}
-                    empty = {n: dyn(v) if made[n].kind == "dyn" else v for n, v in empty.items()}
-                    out = F.when(F.size(out) > 0, out).otherwise(F.array(extended(x, empty, F.lit(-1))))
+            return F.array_compact(F.transform(found, element))
+
+        return F.flatten(F.transform(array, many)), made
+
+    def joined(step):
+        made: dict[str, Val] = {}
+
+        def many(x: Column) -> Column:
+            before = view(x)
+            found, fields, constants, left = runner.generator(step, before, x["_solution"])
+
+            def element(y: Column, i: Column) -> Column:
+                fresh = {n: runner.bound_from(n, y, constants, before) for n in fields}
+                made.update(fresh)
+                return extended(x, fresh, i)
+
+            out = F.transform(found, element)
+            if not left:
                 return out
+            empty = {}
+            for n, v in made.items():
+                old = before.get(n)
+                if old is None:
+                    empty[n] = Val(v.kind, F.lit(None).cast(DYN if v.kind == "dyn" else "string"), v.datatype, v.lang)
+                else:
+                    empty[n] = dyn(old) if v.kind == "dyn" else old
+            return F.when(F.size(out) > 0, out).otherwise(F.array(extended(x, empty, F.lit(-1))))
+
+        return F.flatten(F.transform(array, many)), made
+
+    def kept(condition):
+        return F.filter(array, lambda x: F.coalesce(ebv(runner.context(view(x), x["_solution"]).compile(condition)), F.lit(False)))
 
-            array = F.flatten(F.transform(array, joined))
-            shape.update(made)
+    for step in steps:
+        kind = step[0]
+        if kind == "filter":
+            continue
+        if kind == "minus":
+            raise QueryError("MINUS cannot stand with modifiers")
+        array, fresh = (bound if kind == "bind" else computed if kind == "property" else joined)(step)
+        shape.update(fresh)
     for f in filters:
-        array = F.filter(array, lambda x, f=f: F.coalesce(ebv(runner.context(view(x), x["_solution"]).compile(f)), F.lit(False)))
+        array = kept(f)
     rows = rows.withColumn("_all", array)
     array = F.col("_all")
     if s.order:
@@ -488,9 +498,9 @@ def solutions_in_row(rows: DataFrame, values: dict[str, Val], steps: list, s: Se
         array = F.array_distinct(F.transform(array, lambda x: F.struct(F.lit("").alias("_solution"), *[x[n].alias(n) for n in names])))
     if s.offset or s.limit is not None:
         array = F.slice(array, s.offset + 1, s.limit if s.limit is not None else 2**31 - 1 - s.offset)
-    kept = [c for c in rows.columns if c != "_all"]
-    rows = rows.select(*kept, F.explode(array).alias("_x"))
-    rows = rows.select(*kept, F.col("_x._solution").alias("_solution"), *[F.col("_x").getField(n).alias(f"_y{i}") for i, n in enumerate(shape)])
+    own = [c for c in rows.columns if c != "_all"]
+    rows = rows.select(*own, F.explode(array).alias("_x"))
+    rows = rows.select(*own, F.col("_x._solution").alias("_solution"), *[F.col("_x").getField(n).alias(f"_y{i}") for i, n in enumerate(shape)])
     return rows, outer | {n: Val(v.kind, F.col(f"_y{i}"), v.datatype, v.lang, v.item, safe=v.safe) for i, (n, v) in enumerate(shape.items())}
 
 
