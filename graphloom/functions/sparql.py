@@ -141,12 +141,14 @@ def arithmetic(sql: str):
         x, y, kind = both
         if sql == "/":
             if kind in (INTEGER, DECIMAL):
-                # a long division: 38 digits do not hold two numbers of scale 18
-                x, y = x.try_cast(DEC), y.try_cast("decimal(38,18)")
-                wide = F.try_divide(x.try_cast("decimal(38,18)"), y.try_cast("decimal(20,6)"))
-                narrow = y == y.try_cast("decimal(20,6)")
+                # the quotient keeps 18 fraction digits only if the divisor has none
+                x, y = x.try_cast(DEC), y.try_cast(DEC)
+                whole = F.try_divide(x, y.try_cast("decimal(20,0)"))
+                million = F.lit(1_000_000).cast("decimal(7,0)")
+                shifted = F.try_divide(F.try_multiply(x, million).try_cast(DEC), F.try_multiply(y, million).try_cast("decimal(26,0)"))
                 slow = F.try_divide(x.cast("double"), y.cast("double"))
-                return numeric(F.coalesce(F.when(narrow, wide.try_cast(DEC)), F.when(~narrow, slow.try_cast(DEC))), DECIMAL)
+                quotient = F.when(y == F.floor(y), whole.try_cast(DEC)).when(y == y.try_cast("decimal(38,6)"), shifted.try_cast(DEC)).otherwise(slow.try_cast(DEC))
+                return numeric(quotient, DECIMAL)
             return numeric(x / F.when(y != 0, y) if kind == INTEGER else F.when(y != 0, x / F.when(y != 0, y)).when(x == 0, F.lit(float("nan"))).when(F.isnan(x), x).when(x > 0, F.lit(math.inf)).otherwise(F.lit(-math.inf)), kind)
         f = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[sql]
         if kind in (FLOAT, DOUBLE):

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from graphloom.plans.model import Block, BNodePat, ConstPat, ListPat, Pattern, Repeat, TermPat, VarPat
-from graphloom.plans.rdf import FIRST, NIL, REST
+from graphloom.plans.rdf import FIRST, NIL, REST, ListTerm
 from graphloom.plans.typed import Val, constant, dyn, list_of, render, same_kind
 
 TRIPLE = "struct<subject:string,predicate:string,object:string>"
@@ -81,7 +81,9 @@ class Shaper:
         return Val("dyn", F.coalesce(dyn(v).text, dyn(fallback).text))
 
     def pattern(self, p: Pattern, place: Place, values: dict[str, Val]) -> tuple[Column | None, list[Column]]:
-        s, pr, o = (self.term(t, place, values) for t in (p.subject, p.predicate, p.object))
+        s, pr = self.term(p.subject, place, values), self.term(p.predicate, place, values)
+        fixed = isinstance(p.object, ListPat) or isinstance(p.object, ConstPat) and isinstance(p.object.term, ListTerm)
+        o = Val("iri", F.lit(NIL)) if fixed else self.term(p.object, place, values)
         if s.kind in ("lit", "list") or pr.kind in ("lit", "list", "bnode"):
             return None, []
         conditions = []
@@ -95,6 +97,8 @@ class Shaper:
         if pr.kind == "dyn":
             conditions.append(pr.text["k"] == "iri")
         subject, predicate = render(s), render(pr)
+        if fixed:
+            return None, [self.fixed_collection(subject, predicate, p.object, place, values, conditions)]
         if o.kind == "list":
             return None, [self.collection(subject, predicate, o, place, conditions)]
         obj = render(o)
@@ -110,6 +114,39 @@ class Shaper:
             made = F.when(every, made)
         return made, []
 
+    def fixed_collection(self, subject: Column, predicate: Column, pattern: TermPat, place: Place, values: dict[str, Val], conditions: list[Column]) -> Column:
+        """A list written in the plan, of any nesting; made if all its variables have values."""
+        struct = lambda a, b, c: F.struct(a.alias("subject"), b.alias("predicate"), c.alias("object"))
+        links: list[Column] = []
+        more: list[Column] = []
+
+        def build(t: TermPat) -> Column:
+            items = t.items if isinstance(t, ListPat) else tuple(ConstPat(x) for x in t.term.items)
+            head = F.lit(f"<{NIL}>")
+            for item in reversed(items):
+                self.lists += 1
+                node = F.concat(F.lit("_:"), self.label(f"l{self.lists}", place.path))
+                if isinstance(item, ListPat) or isinstance(item, ConstPat) and isinstance(item.term, ListTerm):
+                    links.append(struct(node, F.lit(f"<{FIRST}>"), build(item)))
+                else:
+                    v = self.term(item, place, values)
+                    if isinstance(item, VarPat):
+                        conditions.append(v.bound)
+                    if v.kind == "list":
+                        more.append(self.collection(node, F.lit(f"<{FIRST}>"), v, place, []))
+                    else:
+                        links.append(struct(node, F.lit(f"<{FIRST}>"), render(v)))
+                links.append(struct(node, F.lit(f"<{REST}>"), head))
+                head = node
+            return head
+
+        head = build(pattern)
+        every = subject.isNotNull() & predicate.isNotNull()
+        for c in conditions:
+            every = every & c
+        made = F.concat(F.array(struct(subject, predicate, head), *links), *more)
+        return F.when(every, made).otherwise(F.array().cast(f"array<{TRIPLE}>"))
+
     def collection(self, subject: Column, predicate: Column, o: Val, place: Place, conditions: list[Column]) -> Column:
         """The triple and the rdf:first / rdf:rest chain; an empty list is rdf:nil."""
         self.lists += 1

@@ -117,7 +117,8 @@ def triples_steps(triples: list) -> list:
 
 
 def mentioned(query: Query) -> set[str]:
-    return set(re.findall(r"[?$](\w+)", re.sub(r'"(?:[^"\\]|\\.)*"|#[^\n]*', " ", query.text)))
+    """Variables that the query's text names."""
+    return set(query.variables)
 
 
 def spine_binds(elements: list) -> set[str]:

@@ -55,6 +55,7 @@ class Query:
     select: Select
     source: str | None = None
     text: str = ""
+    variables: frozenset = frozenset()
 
 
 def tokens(text: str) -> list[tuple[str, str, int]]:
@@ -262,7 +263,9 @@ class QueryParser(Reader):
                 if any(e[0] != "triples" for e in where):
                     raise SyntaxProblem("CONSTRUCT WHERE takes triples only")
                 template = [t for e in where for t in e[1]]
-                return Query("construct", self.prefixes, self.base, template, self.modifiers(Select([], where)), None, self.text)
+                query = Query("construct", self.prefixes, self.base, template, self.modifiers(Select([], where)), None, self.text)
+                query.variables = frozenset(value[1:] for kind, value, _ in self.tokens if kind == "var")
+                return query
             self.take("{")
             while self.value != "}":
                 self.subject_triples(template)
@@ -278,6 +281,7 @@ class QueryParser(Reader):
             self.fail("expected CONSTRUCT or SELECT")
         if self.kind != "end":
             self.fail("expected the end of the query")
+        query.variables = frozenset(value[1:] for kind, value, _ in self.tokens if kind == "var")
         return query
 
     def dataset(self) -> str | None:
