@@ -9,37 +9,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import bpe, jaccard, langid, mixing, suffix
-from graphloom.llm.common import durable
-from graphloom.session import ship
+from graphloom.llm.common import durable, prepare
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a recognizable language."""
-    ship(spark)
+    prepare(spark)
     return langid.accepted(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies."""
-    ship(spark)
+    prepare(spark)
     return jaccard.first_of_each(docs)
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 400 bytes or more that repeat; documents stay."""
-    ship(spark)
+    prepare(spark)
     return suffix.clean(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put the rows in the mixture's order; none is dropped."""
-    ship(spark)
+    prepare(spark)
     return mixing.interleave(docs)
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    ship(spark)
+    prepare(spark)
     return bpe.token_rows(docs)
 
 

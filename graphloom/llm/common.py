@@ -22,9 +22,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.session import ship
+
 _own_folder: list[str] = []
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ship the package and, unless the session chose its own, make Arrow batches small: whole texts are long rows."""
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "2000")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only where the setting is absent (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -32,7 +32,7 @@ WORDS = 5
 PERCENT = 80
 BOTTOM = 8
 FREQUENT = 16
-MAX_FREQUENT = 100_000
+MAX_FREQUENT = 500_000  # 4 MB
 
 
 class WordHashes(dict):
@@ -118,13 +118,6 @@ def whole_sets(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists(shingle_sets(texts))], ["class", "shingles"])
 
 
-def repeated_columns(batches):
-    """Columns found twice or more among this task's prefixes, with their counts."""
-    parts = [b.column(0).flatten().to_numpy() for b in batches]
-    values, n = np.unique(np.concatenate(parts) if parts else np.empty(0, np.int64), return_counts=True)
-    yield pa.RecordBatch.from_arrays([pa.array(values[n > 1]), pa.array(n[n > 1], pa.int64())], ["token", "n"])
-
-
 def among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     if not len(table):
         return np.zeros(len(values), bool)
@@ -167,26 +160,33 @@ def untouched(frequent: np.ndarray):
 
 
 def block_product(batches):
-    """Sorted (token, class, n, h, component) -> pairs of classes within a token, across components and within the size bound."""
+    """Rows sorted by (token, component) -> pairs of classes of different components within a token and the size bound."""
 
     def pairs(t: np.ndarray, cls: np.ndarray, n: np.ndarray, h: np.ndarray, comp: np.ndarray):
-        start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-        size = np.diff(np.append(start, len(t)))
-        for g in np.unique(size[size > 1]).tolist():
-            at = start[size == g]
-            for i in range(g - 1):  # a row against all later ones of its token
-                step = max(1, 500_000 // (g - i))
-                for k in range(0, len(at), step):
-                    left = np.repeat(at[k : k + step] + i, g - 1 - i)
-                    right = (at[k : k + step, None] + np.arange(i + 1, g)[None, :]).ravel()
-                    low, high = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
-                    ok = (comp[left] != comp[right]) & (cls[left] != cls[right]) & (100 * low >= PERCENT * high)
-                    left, right = left[ok], right[ok]
-                    if len(left):
-                        swap = cls[left] > cls[right]
-                        a, b = np.where(swap, right, left), np.where(swap, left, right)
-                        bound = bounds(n[a], n[b], np.minimum(h[a], h[b]))
-                        yield pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(cls[b]), pa.array(bound)], ["src", "dst", "bound"])
+        new_token = np.append(True, t[1:] != t[:-1])
+        new_run = new_token | np.append(True, comp[1:] != comp[:-1])
+        ends = np.append(np.flatnonzero(new_token)[1:], len(t))[np.cumsum(new_token) - 1]
+        run_end = np.append(np.flatnonzero(new_run)[1:], len(t))[np.cumsum(new_run) - 1]
+        count = ends - run_end  # each row meets the later components of its token
+        rows = np.flatnonzero(count)
+        total = np.cumsum(count[rows])
+        start = 0
+        while start < len(rows):
+            before = int(total[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(total, before + 500_000, side="right")))
+            part = rows[start:stop]
+            start = stop
+            k = count[part]
+            left = np.repeat(part, k)
+            right = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k) + np.repeat(run_end[part], k)
+            low, high = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
+            ok = 100 * low >= PERCENT * high
+            left, right = left[ok], right[ok]
+            if len(left):
+                swap = cls[left] > cls[right]
+                a, b = np.where(swap, right, left), np.where(swap, left, right)
+                bound = bounds(n[a], n[b], np.minimum(h[a], h[b]))
+                yield pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(cls[b]), pa.array(bound)], ["src", "dst", "bound"])
 
     held = None
     for batch in batches:
@@ -195,7 +195,7 @@ def block_product(batches):
             now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
         if not len(now[0]):
             continue
-        cut = int(np.searchsorted(now[0], now[0][-1]))
+        cut = len(now[0]) - int((now[0][::-1] != now[0][-1]).argmax() or len(now[0]))
         held = [x[cut:] for x in now]
         if cut:
             yield from pairs(*[x[:cut] for x in now])
@@ -298,7 +298,9 @@ def vertices(docs: DataFrame, frequent: int = FREQUENT, max_frequent: int = MAX_
     part = durable(connected_components(first).withColumnRenamed("id", "class"), "parts")
 
     # the order of columns: frequent ones last
-    often = classes.select("prefix").mapInArrow(repeated_columns, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > frequent)
+    # (counted over all documents, near copies once)
+    inner = durable(part.filter("class != component").select("class"), "inner")
+    often = without(classes.select("class", "prefix"), F.col("class"), inner).select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > frequent)
     listed = np.sort(np.array([r.token for r in often.orderBy(F.desc("n"), "token").limit(max_frequent).select("token").collect()], np.int64).view(np.uint64))
     kept = classes.mapInArrow(untouched(listed), "class long, n long, prefix array<long>").select("class", "n", F.col("prefix").alias("rare"), F.array().cast("array<long>").alias("often"))
     if len(listed):
@@ -310,7 +312,7 @@ def vertices(docs: DataFrame, frequent: int = FREQUENT, max_frequent: int = MAX_
     # the blocked product over rare columns
     n_blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entries = columns.select(F.explode("rare").alias("token"), "class", "n", "h", "component")
-    dealt = entries.repartition(n_blocks, "token").sortWithinPartitions("token")
+    dealt = entries.repartition(n_blocks, "token").sortWithinPartitions("token", "component")
     counted = dealt.mapInArrow(block_product, "src long, dst long, bound long").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("shared"), F.first("bound").alias("bound"))
     pairs = counted.filter("shared >= bound").select("src", "dst")
     if len(listed):

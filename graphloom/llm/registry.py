@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from . import bpe, embeddings, jaccard, langid, licenses, mixing, packing, quality, sharding, suffix
+from .common import prepare
 
-QUERIES = {
+_QUERIES = {
     "op1_hash_tree_sharding": sharding.query,
     "op2_bpe_round_trip": bpe.query,
     "op3_hyperdimensional_language_id": langid.query,
@@ -16,4 +17,15 @@ QUERIES = {
     "op9_run_length_repeats": suffix.query,
     "op10_packed_token_ids": packing.query,
 }
+
+
+def _prepared(query):
+    def run(spark, sf_dir):
+        prepare(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {name: _prepared(query) for name, query in _QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {}
