@@ -28,7 +28,7 @@ from .common import text_slices
 
 #: Fixed value: the vocabulary's word pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-NO_RANK = np.iinfo(np.int64).max
+NO_RANK = np.iinfo(np.int32).max
 
 
 def byte_symbols() -> dict[int, str]:
@@ -62,7 +62,7 @@ class NumpyBPE:
     ``table_symbols`` bounds the per-task word table (symbols kept before it is emptied).
     """
 
-    def __init__(self, path: str, table_symbols: int = 1_000_000):
+    def __init__(self, path: str, table_symbols: int = 1_500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, symbols = spec["model"]["vocab"], byte_symbols()
@@ -75,7 +75,11 @@ class NumpyBPE:
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
+        self.keys, self.rank, self.made = keys[order], order.astype(np.int32), made[order]
+        # the first round's pairs are all of bytes: looked up once and for all
+        first = self.byte_id.repeat(256) * self.size + np.tile(self.byte_id, 256)
+        self.first_at = np.minimum(np.searchsorted(self.keys, first), len(self.keys) - 1).astype(np.int32)
+        self.first_rank = np.where(self.keys[self.first_at] == first, self.rank[self.first_at], NO_RANK).astype(np.int32)
         back = {c: b for b, c in symbols.items()}
         self.pieces = [b""] * self.size
         for token, i in vocab.items():
@@ -108,15 +112,26 @@ class NumpyBPE:
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after another, number of ids of each word)."""
         lengths = np.array([len(w) for w in words], np.int64)
-        sym = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), lengths)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        sym = self.byte_id[raw]
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        pair = raw.astype(np.int32) << 8
+        pair[:-1] |= raw[1:]
+        at = self.first_at[pair]
+        rank = np.where(np.append(word[1:] == word[:-1], False), self.first_rank[pair], NO_RANK)
+
+        def look_up(i: np.ndarray) -> None:
+            """Ranks of the pairs that start at places i."""
+            pair = i[:-1] if len(i) and i[-1] == len(sym) - 1 else i
+            key = sym[pair] * self.size + sym[pair + 1]
+            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            at[pair] = found
+            rank[i] = NO_RANK
+            rank[pair] = np.where((word[pair] == word[pair + 1]) & (self.keys[found] == key), self.rank[found], NO_RANK)
+
         done_sym, done_word = [], []
         while len(sym):
-            follows = np.append(word[1:] == word[:-1], False)
-            key = np.where(follows, sym * self.size + np.append(sym[1:], 0), -1)
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where(self.keys[at] == key, self.rank[at], NO_RANK)
-            start = np.flatnonzero(np.append(True, ~follows[:-1]))
+            start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             count = np.diff(np.append(start, len(sym)))
             least = np.repeat(np.minimum.reduceat(rank, start), count)
             over = least == NO_RANK
@@ -134,7 +149,13 @@ class NumpyBPE:
             sym[hit] = self.made[at[hit]]
             stay = np.ones(len(sym), bool)
             stay[hit + 1] = False
-            sym, word = sym[stay], word[stay]
+            hit = hit - np.arange(len(hit))  # each merge before it took one place
+            sym, word, at, rank = sym[stay], word[stay], at[stay], rank[stay]
+            # only pairs with a new symbol have another rank
+            changed = np.zeros(len(sym), bool)
+            changed[hit] = True
+            changed[np.maximum(hit - 1, 0)] = True
+            look_up(np.flatnonzero(changed))
         if not done_sym:
             return np.empty(0, np.int64), lengths
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
