@@ -118,6 +118,50 @@ def whole_sets(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists(shingle_sets(texts))], ["class", "shingles"])
 
 
+def touched(frequent: np.ndarray):
+    """(row, prefix) -> rows whose prefix has a frequent column."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(has_any(batch.column(1), frequent)))], ["row"])
+
+    return run
+
+
+def has_any(prefix: pa.ListArray, frequent: np.ndarray) -> np.ndarray:
+    sizes = pa.compute.list_value_length(prefix).to_numpy()
+    hot = among(prefix.flatten().to_numpy().view(np.uint64), frequent)
+    return np.bincount(np.repeat(np.arange(len(sizes)), sizes)[hot], minlength=len(sizes)) > 0
+
+
+def repeated_columns(batches):
+    """(text) -> columns that at least two different sets of this task have, with their counts."""
+    classes: set[int] = set()
+    values, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    new: list[np.ndarray] = []
+
+    def merged():
+        every = np.concatenate([values, *new])
+        here, n = np.unique(every, return_inverse=True)
+        weights = np.concatenate([counts, np.ones(len(every) - len(values))])
+        return here, np.bincount(n, weights=weights, minlength=len(here)).astype(np.int64)
+
+    waiting = 0
+    for batch in batches:
+        for _, _, texts in text_slices(batch.column(0)):
+            sets = shingle_sets(texts)
+            for c, s in zip(class_ids(sets), sets, strict=True):
+                if len(s) and c not in classes:
+                    classes.add(c)
+                    new.append(s)
+                    waiting += len(s)
+            if waiting > max(1_000_000, len(values)):
+                values, counts = merged()
+                new, waiting = [], 0
+    values, counts = merged()
+    yield pa.RecordBatch.from_arrays([pa.array(values[counts > 1].view(np.int64)), pa.array(counts[counts > 1])], ["token", "n"])
+
+
 def among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     if not len(table):
         return np.zeros(len(values), bool)
@@ -150,11 +194,7 @@ def untouched(frequent: np.ndarray):
 
     def run(batches):
         for batch in batches:
-            prefix = batch.column(2)
-            sizes = pa.compute.list_value_length(prefix).to_numpy()
-            hot = among(prefix.flatten().to_numpy().view(np.uint64), frequent)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            yield batch.filter(pa.array(np.bincount(doc[hot], minlength=len(sizes)) == 0))
+            yield batch.filter(pa.array(~has_any(batch.column(2), frequent)))
 
     return run
 
@@ -231,6 +271,12 @@ def compare(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["src", "dst"])
 
 
+def most_frequent(counts: DataFrame, limit: int) -> np.ndarray:
+    """At most ``limit`` columns with the highest counts, sorted."""
+    found = counts.orderBy(F.desc("n"), "token").limit(limit).select("token").collect()
+    return np.sort(np.array([r.token for r in found], np.int64).view(np.uint64))
+
+
 def verify(pairs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs of classes whose whole sets have Jaccard >= 0.8.
 
@@ -301,10 +347,17 @@ def vertices(docs: DataFrame, frequent: int = FREQUENT, max_frequent: int = MAX_
     # (counted over all documents, near copies once)
     inner = durable(part.filter("class != component").select("class"), "inner")
     often = without(classes.select("class", "prefix"), F.col("class"), inner).select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > frequent)
-    listed = np.sort(np.array([r.token for r in often.orderBy(F.desc("n"), "token").limit(max_frequent).select("token").collect()], np.int64).view(np.uint64))
+    texts = own.select("row", "text")
+    listed = most_frequent(often, max_frequent)
+    if len(listed):
+        # prefixes without these columns reach further: the columns found there are counted too
+        reach = durable(full.select("row", "prefix").mapInArrow(touched(listed), "row long"), "reach")
+        more = maybe_in(texts, texts["row"], reach).select("text").mapInArrow(repeated_columns, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > frequent)
+        listed = np.union1d(listed, most_frequent(more, max_frequent))
     kept = classes.mapInArrow(untouched(listed), "class long, n long, prefix array<long>").select("class", "n", F.col("prefix").alias("rare"), F.array().cast("array<long>").alias("often"))
     if len(listed):
-        changed = own.select("text").mapInArrow(reordered(listed), "class long, n long, rare array<long>, often array<long>")
+        reach = durable(full.select("row", "prefix").mapInArrow(touched(listed), "row long"), "reach")
+        changed = maybe_in(texts, texts["row"], reach).select("text").mapInArrow(reordered(listed), "class long, n long, rare array<long>, often array<long>")
         kept = kept.union(changed.groupBy("class").agg(F.first("n"), F.first("rare"), F.first("often")))
     known = kept.join(part, "class", "left").withColumn("component", F.coalesce("component", "class"))
     columns = known.select("class", "n", F.size("often").cast("long").alias("h"), "component", "rare")

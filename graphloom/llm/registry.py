@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, jaccard, langid, licenses, mixing, packing, quality, sharding, suffix
+from . import bpe, embeddings, jaccard, langid, licenses, mixing, oracles, packing, quality, sharding, suffix
 from .common import prepare
 
 _QUERIES = {
@@ -28,4 +28,10 @@ def _prepared(query):
 
 
 QUERIES = {name: _prepared(query) for name, query in _QUERIES.items()}
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators (checksums, tokenizers, learned models, byte windows, packing) are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op5_diagonal_license_scan": oracles.license_sql(),
+    "op6_ngram_jaccard_join": oracles.JACCARD,
+    "op7_hyperplane_near_duplicates": oracles.EMBEDDINGS,
+    "op8_pfair_mixing": oracles.mixing_sql(mixing.PERIOD, mixing.BLOCK_ROWS),
+}
