@@ -187,7 +187,7 @@ def without(df: DataFrame, column: Column, keys: DataFrame) -> DataFrame:
     return marked.filter("not _gl_maybe").select(*df.columns).union(unsure.select(*df.columns))
 
 
-def text_slices(col: pa.Array, limit: int = 2 << 20):
+def text_slices(col: pa.Array, limit: int = 1 << 19):
     """(start, stop, texts) of runs of a text column of about ``limit`` bytes (one text at least).
 
     Only one run is in memory as Python strings; freed memory goes back to the system after the last.

@@ -9,9 +9,9 @@ blocks, and pairs whose sizes or counts are below the bounds that follow from th
 are discarded.  What remains is verified on the whole sets.
 
 Two measures keep groups of copies and shared passages from giving all pairs:
-* first, near copies found through the 8 smallest hashes are linked (after verification) to
+* first, near copies found through the 16 smallest hashes are linked (after verification) to
   one centre each and contracted; the product leaves out pairs within a component;
-* the order puts very frequent columns last, so that a shared passage is not in the
+* the order puts very frequent columns last, the most frequent at the end, so that a shared passage is not in the
   prefix of documents that have other text.  The order is free: any order gives the same
   links, so the list of frequent columns may be bounded without loss.
 
@@ -20,6 +20,8 @@ Shingles are 64-bit hashes of word hashes; a class id is 64 bits of its set's 12
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,7 +32,7 @@ from .common import cached, connected_components, durable, maybe_in, maybe_mark,
 
 WORDS = 5
 PERCENT = 80
-BOTTOM = 8
+BOTTOM = 16
 FREQUENT = 16
 MAX_FREQUENT = 500_000  # 4 MB
 
@@ -39,7 +41,7 @@ class WordHashes(dict):
     """word -> 64-bit hash; emptied when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -60,7 +62,7 @@ def shingle_sets(texts: list[str | None], width: int = WORDS) -> list[np.ndarray
     """Sorted distinct shingle hashes (uint64) of each text; fewer words than ``width``: the whole sequence as one."""
     words = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]  # bytes: A-Z and ASCII white space only
     n = np.array([len(w) for w in words], np.int64)
-    flat = np.fromiter((_hashes[w] for doc in words for w in doc), np.uint64, int(n.sum()))
+    flat = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(words)), np.uint64, int(n.sum()))
     ends = np.cumsum(n)
     rolled = np.zeros(max(0, len(flat) - width + 1), np.uint64)
     for i in range(width):
@@ -168,8 +170,8 @@ def among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-def reordered(frequent: np.ndarray):
-    """(text) -> (class, n, rare, often): prefixes under (frequent last, hash), for texts whose hash prefix has a frequent column."""
+def reordered(frequent: np.ndarray, counts: np.ndarray):
+    """(text) -> (class, n, rare, often): prefixes with frequent columns last, rarer ones of them first, for texts whose hash prefix has one."""
 
     def run(batches):
         for batch in batches:
@@ -182,8 +184,9 @@ def reordered(frequent: np.ndarray):
                     if not among(s[:keep], frequent).any():
                         continue
                     hot = among(s, frequent)
-                    first = s[~hot][:keep]
-                    sets.append(s), n.append(len(s)), rare.append(first), often.append(s[hot][: keep - len(first)])
+                    first, last = s[~hot][:keep], s[hot]
+                    last = last[np.argsort(counts[np.searchsorted(frequent, last)], kind="stable")]
+                    sets.append(s), n.append(len(s)), rare.append(first), often.append(last[: keep - len(first)])
                 yield pa.RecordBatch.from_arrays([pa.array(class_ids(sets), pa.int64()), pa.array(n, pa.int64()), lists(rare), lists(often)], ["class", "n", "rare", "often"])
 
     return run
@@ -271,10 +274,20 @@ def compare(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["src", "dst"])
 
 
-def most_frequent(counts: DataFrame, limit: int) -> np.ndarray:
-    """At most ``limit`` columns with the highest counts, sorted."""
-    found = counts.orderBy(F.desc("n"), "token").limit(limit).select("token").collect()
-    return np.sort(np.array([r.token for r in found], np.int64).view(np.uint64))
+def most_frequent(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``limit`` columns with the highest counts, sorted by column, and the counts."""
+    found = counts.orderBy(F.desc("n"), "token").limit(limit).select("token", "n").collect()
+    tokens = np.array([r.token for r in found], np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], np.array([r.n for r in found], np.int64)[order]
+
+
+def joined_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Both lists in one; the higher count of a column in both."""
+    tokens, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    counts = np.zeros(len(tokens), np.int64)
+    np.maximum.at(counts, at, np.concatenate([a[1], b[1]]))
+    return tokens, counts
 
 
 def verify(pairs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -336,10 +349,12 @@ def vertices(docs: DataFrame, frequent: int = FREQUENT, max_frequent: int = MAX_
     classes = cached(full.groupBy("class").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")))
 
     # contraction: near copies through their smallest hashes
-    low = classes.select("class", "n", F.size("prefix").alias("p"), F.explode(F.slice("prefix", 1, BOTTOM)).alias("token"))
-    centre = low.groupBy("token").agg(F.min(F.struct("class", "n")).alias("c"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("token", F.col("c.class").alias("src"), F.col("c.n").alias("cn"))
-    near = low.join(centre, "token").filter(f"class != src and 100 * least(n, cn) >= {PERCENT} * greatest(n, cn)")
-    near = near.groupBy("src", F.col("class").alias("dst")).agg(F.count(F.lit(1)).alias("shared"), F.first("p").alias("p")).filter(f"2 * shared >= least(p, {BOTTOM})")
+    # (a centre has about its members' size, so that a passage alone does not draw documents of all sizes to one centre)
+    band = F.floor(F.log("n") / F.log(F.lit(1.08))).cast("int")
+    low = classes.select("class", "n", F.size("prefix").alias("p"), band.alias("band"), F.explode(F.slice("prefix", 1, BOTTOM)).alias("token"))
+    centre = low.groupBy("token", "band").agg(F.min(F.struct("class", "n")).alias("c"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("token", "band", F.col("c.class").alias("src"), F.col("c.n").alias("cn"))
+    near = low.join(centre, ["token", "band"]).filter(f"class != src and 100 * least(n, cn) >= {PERCENT} * greatest(n, cn)")
+    near = near.groupBy("src", F.col("class").alias("dst")).agg(F.count(F.lit(1)).alias("shared"), F.first("p").alias("p")).filter(f"4 * shared >= least(p, {BOTTOM})")
     first = verify(durable(near.select("src", "dst"), "near"), full, own.select("row", "text"))
     part = durable(connected_components(first).withColumnRenamed("id", "class"), "parts")
 
@@ -348,16 +363,16 @@ def vertices(docs: DataFrame, frequent: int = FREQUENT, max_frequent: int = MAX_
     inner = durable(part.filter("class != component").select("class"), "inner")
     often = without(classes.select("class", "prefix"), F.col("class"), inner).select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > frequent)
     texts = own.select("row", "text")
-    listed = most_frequent(often, max_frequent)
+    listed, counts = most_frequent(often, max_frequent)
     if len(listed):
         # prefixes without these columns reach further: the columns found there are counted too
         reach = durable(full.select("row", "prefix").mapInArrow(touched(listed), "row long"), "reach")
         more = maybe_in(texts, texts["row"], reach).select("text").mapInArrow(repeated_columns, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > frequent)
-        listed = np.union1d(listed, most_frequent(more, max_frequent))
+        listed, counts = joined_counts((listed, counts), most_frequent(more, max_frequent))
     kept = classes.mapInArrow(untouched(listed), "class long, n long, prefix array<long>").select("class", "n", F.col("prefix").alias("rare"), F.array().cast("array<long>").alias("often"))
     if len(listed):
         reach = durable(full.select("row", "prefix").mapInArrow(touched(listed), "row long"), "reach")
-        changed = maybe_in(texts, texts["row"], reach).select("text").mapInArrow(reordered(listed), "class long, n long, rare array<long>, often array<long>")
+        changed = maybe_in(texts, texts["row"], reach).select("text").mapInArrow(reordered(listed, counts), "class long, n long, rare array<long>, often array<long>")
         kept = kept.union(changed.groupBy("class").agg(F.first("n"), F.first("rare"), F.first("often")))
     known = kept.join(part, "class", "left").withColumn("component", F.coalesce("component", "class"))
     columns = known.select("class", "n", F.size("often").cast("long").alias("h"), "component", "rare")

@@ -98,7 +98,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def work_units(offsets: np.ndarray, width: int, limit: int = 1 << 20):
+def work_units(offsets: np.ndarray, width: int, limit: int = 1 << 18):
     """(number of the first text, starts, ends, base): runs of texts, or overlapping segments of a long one."""
     sizes = np.diff(offsets)
     i, n = 0, len(sizes)
