@@ -290,6 +290,97 @@ def joined_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndar
     return tokens, counts
 
 
+def dense_product(batches):
+    """Groups of rows sorted by (block, low, high): links between components, a spanning forest of each group.
+
+    The group's part of the incidence matrix is multiplied with its transpose, some columns at a time.
+    """
+
+    def settle(mine: np.ndarray, low: int, high: int, cls: np.ndarray, comp: np.ndarray, sets: list[np.ndarray]):
+        n = np.array([len(x) for x in sets], np.int64)
+        left = np.arange(len(sets)) if low == high else np.flatnonzero(mine == low)
+        right = left if low == high else np.flatnonzero(mine == high)
+        if not len(left) or not len(right):
+            return
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+        number = np.cumsum(count > 1) - 1
+        shared = count[column] > 1
+        column, owner = number[column[shared]], owner[shared]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        overlap = np.zeros((len(left), len(right)), np.float32)
+        width = 2048
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, b = np.searchsorted(column, [start, start + width])
+            part = np.zeros((len(sets), width), np.float32)
+            part[owner[a:b], column[a:b] - start] = 1
+            overlap += part[left] @ part[right].T
+        parent = {int(c): int(c) for c in comp}
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        for i in range(len(left)):
+            both = overlap[i].astype(np.int64)
+            ok = np.flatnonzero((100 * both >= PERCENT * (n[left[i]] + n[right] - both)) & (comp[right] != comp[left[i]]))
+            for j in ok.tolist():
+                x, y = find(int(comp[left[i]])), find(int(comp[right[j]]))
+                if x != y:
+                    parent[x] = y
+                    out.append((cls[left[i]], cls[right[j]]))
+        if out:
+            x, y = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["src", "dst"])
+
+    key, rows = None, []
+
+    def flush():
+        if len(rows) > 1:
+            mine, cls, comp, sets = zip(*rows, strict=True)
+            yield from settle(np.array(mine), key[1], key[2], np.array(cls, np.int64), np.array(comp, np.int64), list(sets))
+
+    for batch in batches:
+        block, low, high, mine, cls, comp = (batch.column(i).to_numpy() for i in range(6))
+        values, ends = batch.column(6).flatten().to_numpy(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(batch.column(6)).to_numpy())])
+        for i in range(len(block)):
+            now = (int(block[i]), int(low[i]), int(high[i]))
+            if now != key:
+                yield from flush()
+                key, rows = now, []
+            rows.append((mine[i], cls[i], comp[i], values[ends[i] : ends[i + 1]].copy()))
+    yield from flush()
+
+
+def dense_links(hot: DataFrame, rows: DataFrame, texts: DataFrame, size: int = 512) -> DataFrame:
+    """Links between components among sets whose prefixes reach into frequent columns (class, component, often).
+
+    Sets that hang together through such columns form one block.  A block is dealt out as pairs of
+    parts of about ``size`` sets, so that a task holds two parts; whole sets are compared, and only a forest of links is written.
+    """
+    spark = hot.sparkSession
+    hot = durable(hot, "hot")
+    entries = hot.select("class", "component", F.explode("often").alias("token"))
+    live = entries.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("token")
+    edges = entries.join(live, "token").select(F.col("class").alias("src"), F.col("token").alias("dst"))
+    block = connected_components(edges).select(F.col("id").alias("class"), F.col("component").alias("block"))
+    member = durable(hot.select("class", "component").join(block, "class"), "member")
+    parts = member.groupBy("block").agg(F.count(F.lit(1)).alias("g")).filter("g > 1").select("block", F.ceil(F.col("g") / size).cast("int").alias("k"))
+    placed = member.join(parts, "block").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("k")).cast("int"))
+    keys = durable(rows.select("class", "row").join(placed.select("class"), "class", "left_semi").groupBy("class").agg(F.min("row").alias("row")), "keys")
+    sets = durable(maybe_in(texts, texts["row"], keys.select("row")).join(keys, "row").select("class", "text").mapInArrow(whole_sets, "class long, shingles array<long>").dropDuplicates(["class"]), "sets")
+    dealt = placed.withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
+    dealt = dealt.select("block", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "class", "component").join(sets, "class")
+    group = ["block", "low", "high"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = dealt.select(*group, "mine", "class", "component", "shingles").repartition(n, *group).sortWithinPartitions(*group)
+    return durable(met.mapInArrow(dense_product, "src long, dst long").hint("rebalance"), "links")
+
+
 def verify(pairs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs of classes whose whole sets have Jaccard >= 0.8.
 
@@ -383,15 +474,9 @@ def vertices(docs: DataFrame, frequent: int = FREQUENT, max_frequent: int = MAX_
     dealt = entries.repartition(n_blocks, "token").sortWithinPartitions("token", "component")
     counted = dealt.mapInArrow(block_product, "src long, dst long, bound long").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("shared"), F.first("bound").alias("bound"))
     pairs = counted.filter("shared >= bound").select("src", "dst")
-    if len(listed):
-        # sets that are nearly all frequent columns: pairs across components within such a column
-        hot = durable(known.filter("size(often) > 0").select("class", "n", "component", F.explode("often").alias("token")), "hot")
-        live = hot.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("token")
-        left = hot.join(live, "token")
-        right = left.select("token", F.col("class").alias("dst"), F.col("n").alias("m"), F.col("component").alias("other"))
-        cross = left.join(right, "token").filter(f"component < other and 100 * least(n, m) >= {PERCENT} * greatest(n, m)")
-        pairs = pairs.union(cross.select(F.least("class", "dst"), F.greatest("class", "dst"))).distinct()
     second = verify(durable(pairs, "pairs"), full, own.select("row", "text"))
+    if len(listed):
+        second = second.union(dense_links(known.filter("size(often) > 0").select("class", "component", "often"), full, own.select("row", "text")))
 
     links = part.filter("class != component").select(F.col("class").alias("src"), F.col("component").alias("dst")).union(second)
     member = connected_components(links).select(F.col("id").alias("class"), F.col("component").alias("root"))
