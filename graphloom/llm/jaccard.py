@@ -33,7 +33,7 @@ from .common import cached, connected_components, durable, maybe_in, maybe_mark,
 WORDS = 5
 PERCENT = 80
 BOTTOM = 16
-FREQUENT = 16
+FREQUENT = 8
 MAX_FREQUENT = 500_000  # 4 MB
 
 
