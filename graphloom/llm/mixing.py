@@ -10,10 +10,22 @@ higher-order aggregate over at most a few thousand slots) and every block looks
 Sources end at different times.  A phase is a run of periods with the same sources left;
 each phase has its own period made of the remaining sources' quanta, so targets stay in
 proportion.  No row is dropped or repeated.
+
+That is the plan of ``schedule`` (its SQL says the same): it keeps to the rounded weights, so
+against the target weights it drifts as the input grows.  ``interleave``, the pipeline's stage, keeps to the target
+weights themselves: the sources are the leaves of a binary tree, slot t of a node goes to its smaller child (share
+r <= 1/2 of the node) if floor(r * (t + 1) + 1/2) > floor(r * t + 1/2), and to the other one if not.  Every split is within 1/2 of its
+share, so a source of weight w stays within (1 + sum of w / weight of each ancestor below the root) / 2 blocks of w * t
+however long the phase is; ``tree`` looks for a
+shape with a bound under 1 (some weights leave up to about 1.4).  A block's slot is closed arithmetic along its path.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,21 +34,26 @@ from .common import durable, gapless_index, same
 PERIOD = 400
 BLOCK_ROWS = 16
 MAX_LOOKUP = 200_000
+MAX_PARTS = 20_000
+MAX_SHAPES = 64
 
 
-def sources_table(counts: DataFrame, block_rows: int, period: int, weights: dict[str, float] | None) -> DataFrame:
-    """source, quanta, blocks, periods (whole periods until the source ends).
+def target(weights: dict[str, float] | None) -> Column:
+    """A source's target weight, from its name and its rows ``n``.
 
     ``weights`` gives target weights by source name; without them the target is the square
     root of the source's rows.  A source without a positive target gets the smallest one, so its rows are kept.
     """
-    if weights:
-        table = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])
-        given = table[F.coalesce("source", F.lit(""))]
-        wanted = F.when(given > 0, given).otherwise(F.lit(min(v for v in weights.values() if v > 0)))
-    else:
-        wanted = F.sqrt("n")
-    rows = counts.withColumn("w", wanted)
+    if not weights:
+        return F.sqrt("n")
+    table = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])
+    given = table[F.coalesce("source", F.lit(""))]
+    return F.when(given > 0, given).otherwise(F.lit(min(v for v in weights.values() if v > 0)))
+
+
+def sources_table(counts: DataFrame, block_rows: int, period: int, weights: dict[str, float] | None) -> DataFrame:
+    """source, quanta, blocks, periods (whole periods until the source ends); see ``target``."""
+    rows = counts.withColumn("w", target(weights))
     total = rows.agg(F.sum("w").alias("total"))
     rows = rows.join(F.broadcast(total), F.lit(True))
     rows = rows.withColumn("quanta", F.greatest(F.lit(1), F.round(F.col("w") / F.col("total") * period)).cast("int"))
@@ -120,11 +137,111 @@ def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, bloc
     return schedule(docs.select("doc_id", "source"), F.col("source"), ["doc_id"], weights, block_rows, period)
 
 
+def tree(weights: list[float]) -> tuple[list[list[tuple[float, bool]]], float]:
+    """(each leaf's path up to the root as (r of the node, whether it is on the smaller side), bound on the deviation)."""
+
+    def paths(root):
+        out, bound, todo = [[] for _ in weights], 0.0, [(root, [], 0.0)]
+        while todo:
+            (w, _, leaf, kids), up, inverse = todo.pop()
+            if kids is None:
+                out[leaf] = up[::-1]
+                bound = max(bound, (1 + w * inverse) / 2 if up else 0.0)
+                continue
+            small, large = sorted(kids, key=lambda x: x[:2])
+            r = small[0] / (small[0] + large[0])
+            below = inverse + (1 / w if up else 0.0)
+            todo += [(small, [*up, (r, True)], below), (large, [*up, (r, False)], below)]
+        return out, bound
+
+    def huffman(nodes):
+        heap = list(nodes)
+        heapq.heapify(heap)
+        count = len(weights)
+        while len(heap) > 1:
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            heapq.heappush(heap, (a[0] + b[0], count := count + 1, -1, (a, b)))
+        return heap[0]
+
+    leaves = sorted((w, i, i, None) for i, w in enumerate(weights))
+
+    best = paths(huffman(leaves))
+    for cut in range(1, len(leaves) - 1 if len(leaves) <= MAX_SHAPES else 0):
+        if best[1] < 1:
+            break
+        # the smallest sources apart: a small sibling deep in the tree costs its neighbour a whole split
+        rest, few = huffman(leaves[cut:]), huffman(leaves[:cut])
+        best = min(best, paths((few[0] + rest[0], -1, -1, (few, rest))), key=lambda x: x[1])
+    return best
+
+
+def slot_of(k: int, path: list[tuple[float, bool]]) -> int:
+    """The slot of a source's block k, counted from the start of the phase (``SLOT`` is the same for columns)."""
+    for r, small in path:
+        t = math.ceil((k + 0.5) / (r if small else 1 - r)) - 1
+        k = next(x for x in (t - 1, t, t + 1, t + 2) if _given(x + 1, r, small) > k)
+    return k
+
+
+def _given(t: int, r: float, small: bool) -> int:
+    """Of a node's first t slots, those of one child."""
+    return math.floor(r * t + 0.5) if small else t - math.floor(r * t + 0.5)
+
+
+SLOT = """
+start + aggregate(path, block - since, (k, x) -> filter(
+  transform(sequence(-1L, 2L), d -> cast(ceil((k + 0.5D) / if(x.small, x.r, 1D - x.r)) as bigint) - 1L + d),
+  t -> if(x.small, cast(floor(x.r * (t + 1L) + 0.5D) as bigint), t + 1L - cast(floor(x.r * (t + 1L) + 0.5D) as bigint)) > k)[0])
+"""
+
+
+def target_phases(sources: list[tuple[str | None, float, int]]) -> list[dict]:
+    """For (source, weight, blocks): the phases, each with its sources' first block, end, path, and the first slot.
+
+    A phase ends with the slot that takes the last block of a source.
+    """
+    out, start = [], 0
+    active = [[name, w, blocks, 0] for name, w, blocks in sources if blocks]
+    while active:
+        paths, _ = tree([a[1] for a in active])
+        length = 1 + min(slot_of(a[2] - a[3] - 1, p) for a, p in zip(active, paths, strict=True))
+        for a, path in zip(active, paths, strict=True):
+            taken = length
+            for r, small in reversed(path):
+                taken = _given(taken, r, small)
+            if taken:
+                out.append({"source": a[0], "since": a[3], "until": a[3] + taken, "start": start, "path": [{"r": r, "small": small} for r, small in path]})
+            a[3] += taken
+        active, start = [a for a in active if a[3] < a[2]], start + length
+    return out
+
+
+def target_schedule(rows: DataFrame, order: list[str], weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``rows`` (narrow, with source) and their index in the source, block, offset and slot by the target weights themselves.
+
+    Only one row per source comes to the driver.
+    """
+    spark = rows.sparkSession
+    numbered = durable(gapless_index(rows, ["source"], order, "index"), "numbered")
+    counts = numbered.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.select("source", target(weights).alias("w"), F.ceil(F.col("n") / block_rows).cast("long").alias("blocks")).collect()
+    parts = target_phases(sorted((tuple(r) for r in found), key=lambda r: (r[0] is not None, r[0])))
+    kind = pa.schema([("source", pa.string()), ("since", pa.int64()), ("until", pa.int64()), ("start", pa.int64()), ("path", pa.list_(pa.struct([("r", pa.float64()), ("small", pa.bool_())])))])
+    t = spark.createDataFrame(pa.Table.from_pylist(parts, kind))
+    t = F.broadcast(t) if len(parts) <= MAX_PARTS else durable(t, "parts")
+    own = numbered.withColumn("block", F.floor(F.col("index") / block_rows)).withColumn("offset", (F.col("index") % block_rows).cast("int"))
+    met = own.join(t, own["source"].eqNullSafe(t["source"]) & (own["block"] >= t["since"]) & (own["block"] < t["until"]))
+    return met.select(*[own[c] for c in own.columns], F.expr(SLOT).alias("slot"))
+
+
 def interleave(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
-    """Whole rows in mixture order (range-partitioned and sorted by slot), columns unchanged; docs needs source."""
+    """Whole rows in mixture order (range-partitioned and sorted by slot), columns unchanged; docs needs source.
+
+    Follows the target weights without rounding; ``period`` is not used.
+    """
     tie, slot, offset = "_gl_row", "_gl_slot", "_gl_offset"
     kept = durable(docs.withColumn(tie, F.monotonically_increasing_id()), "rows")
-    plan = schedule(kept.select(tie, "source"), F.col("source"), [tie], weights, block_rows, period)
+    plan = target_schedule(kept.select(tie, "source"), [tie], weights, block_rows)
     plan = plan.select(F.col(tie).alias("_gl_key"), F.col("slot").alias(slot), F.col("offset").alias(offset))
     placed = kept.join(plan, kept[tie] == plan["_gl_key"])
     return placed.repartitionByRange(slot, offset).sortWithinPartitions(slot, offset).select(*docs.columns)

@@ -376,6 +376,32 @@ def test_interleave(spark, docs):
     assert mixing.interleave(empty(spark)).count() == 0 and mixing.mix_documents(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("weights", [[0.9996, 0.0004], [(1 / 3) ** 0.5] + [(2 / 57) ** 0.5] * 19])
+def test_target_weights_do_not_drift(weights):
+    paths, bound = mixing.tree(weights)
+    slots, total = 60_000, sum(weights)
+    seen = set()
+    for w, path in zip(weights, paths, strict=True):
+        k = 0
+        while (t := mixing.slot_of(k, path)) < slots:
+            assert t not in seen and abs(k - w / total * t) < 1 and abs(k + 1 - w / total * (t + 1)) < 1
+            seen.add(t)
+            k += 1
+    assert len(seen) == slots and bound < 1
+
+
+def test_interleave_follows_the_target_weights(spark):
+    df = spark.createDataFrame([(i, "b" if i % 500 == 0 else "a") for i in range(20_000)], "doc_id long, source string")
+    head = [r.source for r in mixing.interleave(df, {"a": 0.9996, "b": 0.0004}, block_rows=1).collect()]
+    count = 0
+    for t, source in enumerate(head[:19_000]):
+        assert abs(count - 0.0004 * t) < 1
+        count += source == "b"
+    assert count and head.count("b") == 40
+    plan = mixing.target_schedule(df, ["doc_id"], block_rows=4).collect()
+    assert len({(r.slot, r.offset) for r in plan}) == len(plan) == 20_000 and max(r.slot for r in plan) == 5_000 - 1
+
+
 # ---- 9
 
 def test_suffix_documents(spark, docs):
