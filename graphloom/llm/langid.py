@@ -7,8 +7,12 @@ prototype.  A text belongs to the language whose prototype has the largest cosin
 
 cosine(text, prototype) = sum of count(g) * <g, prototype> / (|text| |prototype|), so the
 products <g, prototype> are computed once per distinct trigram and worker, and the text's own
-norm, common to all languages, cancels in the comparison and in the score (the best
-cosine's share of the positive cosines).
+norm, common to all languages, cancels in the comparison.
+
+The score says how well the text fits any language, whatever their number: the largest mean of <g, prototype>
+over the text's trigrams in units of the mean over the language's own training texts (``levels``), cut to 0..1.
+A text of the language is expected at 1 whatever its length.  A mean that unknown trigrams may give by chance scores 0:
+one below z standard deviations sqrt(sum of count(g)^2) / sum of count(g), z = 2 or, for many languages, sqrt(2 ln K).
 
 Training reads at most about ``max_train_docs`` labelled rows (a documented bound;
 rows are chosen by a hash of doc_id); prediction reads every whole text in a narrow scan.
@@ -96,11 +100,12 @@ class GramIndex:
 
 @dataclass(frozen=True)
 class Model:
-    """Prototypes: languages in order, their unit vectors as float32 bytes."""
+    """Prototypes: languages in order, their unit vectors as float32 bytes, mean products of their own trigrams."""
 
     languages: tuple[str, ...]
     dim: int
     prototypes: bytes
+    levels: tuple[float, ...]
 
     def matrix(self) -> np.ndarray:
         return np.frombuffer(self.prototypes, np.float32).reshape(len(self.languages), self.dim)
@@ -111,8 +116,8 @@ class Scorer:
         self.model, self.index = model, GramIndex()
         self.products = np.empty((0, len(model.languages)), np.float32)
 
-    def cosines(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(cosines up to each text's own norm, number of trigrams) by text."""
+    def cosines(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cosines up to each text's own norm, number of trigrams, sum of squared trigram counts) by text."""
         code, doc = trigrams(texts)
         at = self.index(code)
         known = len(self.products)
@@ -122,17 +127,19 @@ class Scorer:
             self.products = np.concatenate([self.products, *parts])
         n = np.bincount(doc, minlength=len(texts))
         out = np.stack([np.bincount(doc, weights=self.products[at, k], minlength=len(texts)) for k in range(len(self.model.languages))], axis=1) if self.model.languages else np.zeros((len(texts), 0))
-        return out, n
+        size = max(len(self.index.codes), 1)
+        pair, count = np.unique(doc * size + at, return_counts=True)
+        return out, n, np.bincount(pair // size, weights=count.astype(np.float64) ** 2, minlength=len(texts))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         if not self.model.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
-        cos, n = self.cosines(texts)
+        cos, n, squares = self.cosines(texts)
         best = cos.argmax(axis=1)
-        positive = np.maximum(cos, 0)
-        total = positive.sum(axis=1)
-        score = np.where(total > 0, positive.max(axis=1) / np.where(total > 0, total, 1), 0.0)
-        score = np.where(n > 0, score, 0.0)
+        chance = max(2.0, np.sqrt(2 * np.log(len(self.model.languages)))) * np.sqrt(squares)
+        level = np.array(self.model.levels) * np.maximum(n, 1)[:, None]
+        fit = np.where(cos >= chance[:, None], cos / np.maximum(level, 1e-300), 0.0)
+        score = np.clip(fit.max(axis=1), 0.0, 1.0)
         return [self.model.languages[b] if k else "und" for b, k in zip(best, n, strict=True)], score
 
 
@@ -145,8 +152,8 @@ def fit(rows: DataFrame, dim: int = 4096, max_train_docs: int = 100_000) -> Mode
     """Learn prototypes from columns key, text, lang; rows with a null text or lang are skipped.
 
     At most about ``max_train_docs`` rows are read, chosen by a hash of the key.
-    Each task bundles its rows to one vector per language; the vectors are summed
-    by Spark, and languages x dim numbers reach the driver.
+    Each task bundles its rows to one vector per language, with its number of trigrams at the end; the vectors are summed
+    by Spark, and languages x (dim + 1) numbers reach the driver.
     """
     rows = rows.select("key", "text", "lang").filter("text is not null and lang is not null")
     total = rows.select("lang").count()
@@ -171,18 +178,20 @@ def fit(rows: DataFrame, dim: int = 4096, max_train_docs: int = 100_000) -> Mode
             for i in range(0, len(used), 2048):
                 part = used[i : i + 2048]
                 v += counts[lang][part].astype(np.float64) @ gram_vectors(index.codes[part], dim).astype(np.float64)
-            vectors.append(v.tolist())
+            vectors.append([*v.tolist(), float(counts[lang].sum())])
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(vectors, pa.list_(pa.float64()))], ["lang", "v"])
 
     parts = rows.select("text", "lang").mapInArrow(bundle, "lang string, v array<double>")
     sums = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).collect()
     languages = sorted({r.lang for r in sums})
-    matrix = np.zeros((len(languages), dim))
+    matrix = np.zeros((len(languages), dim + 1))
     number = {lang: k for k, lang in enumerate(languages)}
     for r in sums:
         matrix[number[r.lang], r.i] = r.x
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    return Model(tuple(languages), dim, matrix.astype(np.float32).tobytes())
+    matrix, n = matrix[:, :dim], matrix[:, dim]
+    norm = np.maximum(np.linalg.norm(matrix, axis=1), 1e-300)
+    matrix = matrix / norm[:, None]
+    return Model(tuple(languages), dim, matrix.astype(np.float32).tobytes(), tuple((norm / np.maximum(n, 1)).tolist()))
 
 
 def predict_column(text: Column, model: Model) -> Column:
@@ -224,6 +233,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def accepted(docs: DataFrame, model: Model | None = None, min_score: float = 0.3) -> DataFrame:
     """Rows of ``docs`` (columns unchanged) whose language is recognized: not ``und``, score at least ``min_score``.
 
+    Texts of unknown languages, of letters at random and of a single letter are dropped; close relatives of a known language may pass.
+
     With nothing to learn from (no labels), every text with a letter passes.
     """
     model = model or fit_documents(docs)

@@ -124,6 +124,27 @@ def test_language_id_edges(spark, docs):
     assert langid.accepted(unlabelled).count() == sum(bool(t and any(c.isalpha() for c in t)) for _, t, *_ in ROWS)
 
 
+@pytest.mark.parametrize("count", [1, 4, 24])
+def test_accepted_whatever_the_number_of_languages(spark, count):
+    import random
+
+    rng = random.Random(5)
+    rows, clean = [], []
+    for k in range(count):
+        # a language: syllables of its own letters
+        letters = [rng.sample("abcdefghijklmnopqrstuvwxyzäöüéèñçáíóú", 12) for _ in range(3)]
+        syllables = ["".join(rng.choice(x) for x in letters) for _ in range(25)]
+        for i in range(30):
+            text = " ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(rng.choice([4, 20, 200])))
+            clean.append(len(rows))
+            rows.append((len(rows), text, f"l{k}"))
+    other = ["我们今天去学校学习中文因为老师说语言很重要 他们喜欢在公园里散步 天气很好", "Сегодня мы пошли в школу потому что учитель сказал что язык очень важен", "=== --- a *** ### 12 34", "q" * 300]
+    other += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400)) for _ in range(5)]
+    other += [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(60)) for _ in range(5)]
+    docs = spark.createDataFrame(rows + [(10**6 + i, x, None) for i, x in enumerate(other)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in langid.accepted(docs).collect()) == clean
+
+
 def test_profile_is_the_bundle_of_bound_vectors():
     code, doc = langid.trigrams(["ab c", None, "", "é1"])
     assert doc.tolist() == [0, 0, 0, 3] and len(code) == 4
