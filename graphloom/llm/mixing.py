@@ -27,6 +27,7 @@ import math
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import durable, gapless_index, same
@@ -84,16 +85,17 @@ def phases_table(sources: DataFrame) -> DataFrame:
     rows = packed.select("all", "ends", F.posexplode("ends").alias("phase", "until"))
     rows = rows.withColumn("since", F.expr("case when phase = 0 then 0L else ends[phase - 1] end"))
     rows = rows.withColumn("active", F.expr("filter(all, x -> x.periods > since)")).withColumn("slots", F.expr("aggregate(active, 0, (s, x) -> s + x.quanta)"))
-    before = F.expr(
-        "aggregate(sequence(0, phase), 0L, (s, p) -> if(p = phase, s, s + (ends[p] - if(p = 0, 0L, ends[p - 1])) * "
-        "aggregate(filter(all, x -> x.periods > if(p = 0, 0L, ends[p - 1])), 0, (q, x) -> q + x.quanta)))"
-    )
-    return rows.select("phase", "since", "until", "slots", "active", before.alias("before"))
+    rows = durable(rows, "active")
+    # one row per phase
+    past = W.orderBy("phase").rowsBetween(W.unboundedPreceding, -1)
+    before = rows.select("phase", F.coalesce(F.sum((F.col("until") - F.col("since")) * F.col("slots")).over(past), F.lit(0)).cast("long").alias("before"))
+    return rows.join(F.broadcast(before), "phase").select("phase", "since", "until", "slots", "active", "before")
 
 
 def template_table(phases: DataFrame) -> DataFrame:
     """phase, source, nth (its block within a period), at (slot within a period), and the phase's figures."""
-    folded = phases.withColumn("order", F.expr(PICK))
+    n = int(phases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    folded = phases.repartition(n, "phase").withColumn("order", F.expr(PICK))
     rows = folded.select("phase", "since", "slots", "before", "active", F.posexplode("order").alias("at", "x"))
     return rows.select("phase", "since", "slots", "before", F.expr("active[x.i].source").alias("source"), F.expr("x.k").alias("nth"), "at")
 
@@ -111,15 +113,14 @@ def schedule(rows: DataFrame, source: Column, order: list[str], weights: dict[st
     sources = durable(sources_table(counts, block_rows, period, weights), "sources")
     phases = durable(phases_table(sources), "phases")
     template = durable(template_table(phases), "template")
-    if (n := template.count()) > MAX_LOOKUP:
-        raise ValueError(f"{n} slots in all phases' periods: the bound is {MAX_LOOKUP}; use a shorter period")
     ends = phases.agg(F.array_sort(F.collect_list("until")).alias("ends"))
-    known = sources.select("source", "quanta").join(F.broadcast(ends), F.lit(True))
-    own = numbered.join(F.broadcast(known), same(numbered, known, "source")).drop(known["source"])
+    known = sources.select("source", "quanta")
+    own = numbered.join(F.broadcast(known), same(numbered, known, "source")).drop(known["source"]).join(F.broadcast(ends), F.lit(True))
     own = own.withColumn("block", F.floor(F.col("index") / block_rows)).withColumn("offset", (F.col("index") % block_rows).cast("int"))
     own = own.withColumn("_p", F.expr("block div quanta")).withColumn("_nth", F.expr("cast(block % quanta as int)"))
     own = own.withColumn("_phase", F.expr("size(filter(ends, e -> e <= _p))"))
-    t = F.broadcast(template)
+    # a large template is joined by key
+    t = F.broadcast(template) if template.count() <= MAX_LOOKUP else template.hint("merge")
     out = own.join(t, (own["_phase"] == template["phase"]) & (own["_nth"] == template["nth"]) & own["source"].eqNullSafe(template["source"]))
     start = F.col("before") + (F.col("_p") - F.col("since")) * F.col("slots")
     return out.select(

@@ -423,6 +423,17 @@ def test_interleave_follows_the_target_weights(spark):
     assert len({(r.slot, r.offset) for r in plan}) == len(plan) == 20_000 and max(r.slot for r in plan) == 5_000 - 1
 
 
+def test_mixing_beyond_the_lookup(spark, monkeypatch):
+    rows = [(i, f"s{i % 17 % (i % 5 + 3)}" if i % 11 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    small = mixing.mix_documents(df, block_rows=4, period=20).collect()
+    monkeypatch.setattr(mixing, "MAX_LOOKUP", 10)
+    large = mixing.mix_documents(df, block_rows=4, period=20)
+    assert sorted(map(str, large.collect())) == sorted(map(str, small)) and len(small) == 3000
+    monkeypatch.setattr(mixing, "MAX_PARTS", 1)
+    assert sorted(r.doc_id for r in mixing.interleave(df, block_rows=4).collect()) == list(range(3000))
+
+
 # ---- 9
 
 def test_suffix_documents(spark, docs):
