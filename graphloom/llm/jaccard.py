@@ -421,7 +421,11 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     again = durable(linked.groupBy("row").count().filter("count > 1").select("row"), "again")
     kept = without(docs.withColumn(key, F.xxhash64("doc_id", "text")), F.col(key), durable(gone, "gone"))
     marked = maybe_mark(kept, F.col(key), again, "_gl_again")
-    return marked.filter("not _gl_again").select(*docs.columns).union(marked.filter("_gl_again").dropDuplicates([key]).select(*docs.columns))
+    # the bitmap is not exact: rows that occur once, or have no words, pass it as well
+    unsure = marked.filter("_gl_again")
+    repeated = unsure.join(again.withColumnRenamed("row", key), key, "left_semi").dropDuplicates([key])
+    single = unsure.join(again.withColumnRenamed("row", key), key, "left_anti")
+    return marked.filter("not _gl_again").select(*docs.columns).union(single.select(*docs.columns)).union(repeated.select(*docs.columns))
 
 
 def vertices(docs: DataFrame, frequent: int = FREQUENT, max_frequent: int = MAX_FREQUENT) -> DataFrame:

@@ -294,6 +294,13 @@ def test_first_of_each(spark, docs):
     assert Counter(r.doc_id for r in kept.collect()) == expected
 
 
+def test_first_of_each_keeps_wordless_rows_under_a_full_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "maybe_mark", lambda df, column, keys, name: df.withColumn(name, F.lit(True)))
+    rows = [(None, None, "en", "s", 0)] * 7 + [(None, "", "en", "s", 0)] * 5 + [(1, " ", "en", "s", 0)] * 3 + [(2, "some words here", "en", "s", 0)] * 4 + [(3, "other words", "en", "s", 0)]
+    kept = Counter((r.doc_id, r.text) for r in jaccard.first_of_each(frame(spark, rows)).collect())
+    assert kept == {(None, None): 7, (None, ""): 5, (1, " "): 3, (2, "some words here"): 1, (3, "other words"): 1}
+
+
 # ---- 7
 
 def brute_vectors(rows, threshold=0.98):
