@@ -40,6 +40,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="graphloom-"))
     return "file://" + _own_folder[0]
@@ -187,6 +189,19 @@ def without(df: DataFrame, column: Column, keys: DataFrame) -> DataFrame:
     return marked.filter("not _gl_maybe").select(*df.columns).union(unsure.select(*df.columns))
 
 
+def split_hot(df: DataFrame, counts: DataFrame, names: list[str], share: int = 4096) -> DataFrame:
+    """Rows of ``df`` whose ``names`` (none null) are among ``counts`` (names, each once, and n, their rows).
+
+    Keys with more than a ``share``-th of the counted rows are fewer than ``share``: they are broadcast, so that no
+    task gathers the rows of one of them.  The others meet in a shuffle.
+    """
+    least = (counts.agg(F.sum("n").alias("n")).first().n or 0) // share
+    hot = F.broadcast(counts.filter(F.col("n") > least).select(*names, F.lit(True).alias("_gl_hot")))
+    marked = df.join(hot, names, "left")
+    usual = marked.filter("_gl_hot is null").select(*df.columns)
+    return marked.filter("_gl_hot").select(*df.columns).union(usual.join(counts.filter(F.col("n") <= least).select(*names), names).select(*df.columns))
+
+
 def text_slices(col: pa.Array, limit: int = 1 << 19):
     """(start, stop, texts) of runs of a text column of about ``limit`` bytes (one text at least).
 

@@ -25,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cached, durable, give_back, maybe_in, maybe_mark
+from .common import cached, durable, give_back, maybe_in, maybe_mark, split_hot
 
 WIDTH = 400
 GRAM = 32
@@ -334,10 +335,10 @@ def repeated_windows(own: DataFrame, width: int = WIDTH, many: int = MANY) -> Da
     texts = own.select("row", "text")
     long = texts.filter(F.octet_length("text") >= width)
     anchors = cached(long.mapInArrow(anchors_of(width), "row long, anchor long, first int, windows int, c1 long, c2 long"))
-    twice = durable(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("anchor"), "twice")
-    live = durable(maybe_in(anchors, F.col("anchor"), twice).join(twice, "anchor"), "live")
+    twice = durable(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "twice")
+    live = durable(split_hot(maybe_in(anchors, F.col("anchor"), twice.select("anchor")), twice, ["anchor"]), "live")
     kinds = durable(live.groupBy("anchor", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "windows")).alias("x")), "kinds")
-    whole = live.join(kinds.filter("n > 1").select("anchor", "c1", "c2"), ["anchor", "c1", "c2"])
+    whole = split_hot(live, kinds.filter("n > 1").select("anchor", "c1", "c2", "n"), ["anchor", "c1", "c2"])
     marks = whole.select("row", F.col("first").alias("since"), (F.col("first") + F.col("windows")).alias("until"))
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     wanted = kinds.join(several, "anchor").select(
@@ -353,8 +354,24 @@ def repeated_windows(own: DataFrame, width: int = WIDTH, many: int = MANY) -> Da
     windows = pieces.filter("many").mapInArrow(window_hashes(width), "w1 long, w2 long, row long, since int").dropDuplicates(["w1", "w2", "row", "since"])
     windows = durable(windows, "windows")
     common = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
-    marks = marks.union(windows.join(common, ["w1", "w2"]).select("row", "since", (F.col("since") + 1).alias("until")))
-    return marks
+    return marks.union(touching(windows.join(common, ["w1", "w2"]).select("row", "since")))
+
+
+def touching(starts: DataFrame) -> DataFrame:
+    """(row, since), each once -> row, since, until: runs of successive starts."""
+    run = F.col("since") - F.row_number().over(W.partitionBy("row").orderBy("since"))
+    return starts.withColumn("run", run).groupBy("row", "run").agg(F.min("since").alias("since"), (F.max("since") + 1).alias("until")).select("row", "since", "until")
+
+
+def chains(ranges: list[dict], width: int) -> list[tuple[int, int]]:
+    """Byte spans of unbroken runs of window starts."""
+    out: list[list[int]] = []
+    for a, b in sorted((r["since"], r["until"]) for r in ranges):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b + width - 1) for a, b in out]
 
 
 def merged_spans(ranges: list[dict], width: int) -> list[tuple[int, int]]:
@@ -368,10 +385,16 @@ def merged_spans(ranges: list[dict], width: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def passages(raw: np.ndarray, ranges: list[dict], width: int, words: int) -> list[tuple[int, int]]:
+    """Byte spans of the repeated passages with over ``words`` words, or of ``WIDTH`` bytes or more."""
+    long = [(a, b) for a, b in chains(ranges, width) if b - a >= WIDTH or len(raw[a:b].tobytes().split()) > words]
+    return merged_spans([{"since": a, "until": b} for a, b in long], 1)
+
+
 def removal_spans(own: DataFrame, width: int = WIDTH) -> DataFrame:
     """(row, text) -> row, ranges (arrays of since, until), one row for each text that loses bytes."""
     marks = repeated_windows(own, width)
-    return durable(marks.groupBy("row").agg(F.collect_list(F.struct("since", "until")).alias("ranges")), "spans")
+    return durable(marks.groupBy("row").agg(F.collect_set(F.struct("since", "until")).alias("ranges")), "spans")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -408,10 +431,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"))
 
 
-def clean(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def clean(docs: DataFrame, width: int = WIDTH, words: int = 0) -> DataFrame:
     """``docs`` with repeated passages cut out of text, other columns unchanged, but n_chars (if there) is the new length.
 
-    Spans shrink to whole characters, so the text stays valid; a text that is removed entirely becomes empty.
+    A passage is an unbroken run of repeated strings of ``width`` bytes; it goes if it has over ``words`` words (parts
+    between ASCII white space) or ``WIDTH`` bytes or more.  Spans shrink to whole characters, so the text stays valid; a text that is removed entirely becomes empty.
     """
     row = "_gl_row"
     kept = docs.withColumn(row, F.xxhash64("doc_id", "text"))
@@ -423,7 +447,7 @@ def clean(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         out = []
         for i, found in enumerate(ranges.to_pylist()):
             raw, at, parts = data[offsets[i] : offsets[i + 1]], 0, []
-            for a, b in merged_spans(found, width) if found else []:
+            for a, b in passages(raw, found, width, words) if found else []:
                 while a < b and raw[a] & 0xC0 == 0x80:
                     a += 1
                 while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:

@@ -86,6 +86,24 @@ def repeated_bytes(texts, width=400):
     return out
 
 
+def repeated_passages(texts, width, words, sure=400):
+    """As ``repeated_bytes``, for unbroken runs of repeated strings with over ``words`` words or ``sure`` bytes."""
+    count = Counter(t[i : i + width] for t in texts for i in range(len(t) - width + 1))
+    out = []
+    for t in texts:
+        hit, i = [False] * len(t), 0
+        while i <= len(t) - width:
+            j = i
+            while j <= len(t) - width and count[t[j : j + width]] > 1:
+                j += 1
+            end = j - 1 + width
+            if j > i and (end - i >= sure or len(t[i:end].split()) > words):
+                hit[i:end] = [True] * (end - i)
+            i = j + 1
+        out.append(hit)
+    return out
+
+
 def runs(flags):
     return sum(f and (i == 0 or not flags[i - 1]) for i, f in enumerate(flags))
 

@@ -1,10 +1,11 @@
 """The pipeline, stage by stage and as a whole, against brute force."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
-from helpers import corpus, frame, near_components, repeated_bytes
+from helpers import corpus, frame, near_components, repeated_passages
 
 import corpus_pipeline
 from graphloom.llm import bpe, langid
@@ -48,7 +49,7 @@ def test_run_matches_brute_force(spark, tmp_path):
     kept = sorted(first.values())
     # 3
     texts = [r[1].encode() for r in kept]
-    cut = {r[0]: bytes(b for b, h in zip(t, hit, strict=True) if not h) for r, t, hit in zip(kept, texts, repeated_bytes(texts), strict=True)}
+    cut = {r[0]: bytes(b for b, h in zip(t, hit, strict=True) if not h) for r, t, hit in zip(kept, texts, repeated_passages(texts, 150, 50), strict=True)}
     # 4 keeps every row; 5
     model = bpe.load(bpe.tokenizer_path())
     assert set(got) == set(cut)
@@ -65,3 +66,22 @@ def test_mixing_takes_effect(spark):
     head = [r.source for r in out[:400]]
     assert abs(head.count("small") / 400 - 200**0.5 / (200**0.5 + 1800**0.5)) < 0.06
     assert np.mean([r.source == "small" for r in out[-100:]]) == 0
+
+
+def test_passages_of_over_fifty_words_go_and_shorter_ones_stay(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    prose = lambda k, n=6: " ".join(word(rng.randrange(2, n)) for _ in range(k))
+    long, short, own = prose(51, 5), prose(45, 6), prose(70)
+    assert 150 <= len(long) < 250 and 150 <= len(short) < 400
+    rows = [(i, f"{prose(60)} {long} {prose(40)}", "en", "a", 0) for i in range(4)]
+    rows += [(10 + i, f"{prose(60)} {short} {prose(40)}", "en", "a", 0) for i in range(4)]
+    rows += [(20 + i, prose(100), "en", "b", 0) for i in range(10)] + [(30, f"{own} {prose(5)} {own}", "en", "b", 0)]
+    out = {r.doc_id: r.text for r in corpus_pipeline.suffix_array(spark, frame(spark, rows, extra=False), "").collect()}
+    for d, text, *_ in rows:
+        if d < 10:
+            assert long not in out[d] and len(out[d]) <= len(text) - len(long)
+        elif d == 30:
+            assert own not in out[d]
+        else:
+            assert out[d] == text
