@@ -25,9 +25,9 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of 400 bytes or more that repeat; documents stay."""
+    """Cut passages that repeat, of over 50 words (150 bytes at least) or of 400 bytes or more; documents stay."""
     prepare(spark)
-    return suffix.clean(docs)
+    return suffix.clean(docs, width=150, words=50)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
