@@ -9,8 +9,9 @@ wrong result.  Nothing here collects per-document data to the driver.
 from __future__ import annotations
 
 import atexit
-import ctypes
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -90,6 +91,15 @@ def release(*tables: DataFrame) -> None:
             delete(t.sparkSession, path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Delete the shuffle files of finished jobs now.
+
+    Spark deletes them when the driver's JVM collects their handles; without pressure on its heap that may take half an hour.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     """Null-safe equality on the named columns."""
     cond = F.lit(True)

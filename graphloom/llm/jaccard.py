@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cached, connected_components, durable, maybe_in, maybe_mark, release, text_slices, without
+from .common import cached, connected_components, durable, maybe_in, maybe_mark, release, swept, text_slices, without
 
 WORDS = 5
 PERCENT = 80
@@ -114,14 +114,25 @@ def profile(batches):
 
 
 def whole_sets(batches):
-    """(class, text) -> (class, whole set)."""
+    """(text) -> (class, whole set)."""
     for batch in batches:
-        for a, b, texts in text_slices(batch.column(1)):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists(shingle_sets(texts))], ["class", "shingles"])
+        for _, _, texts in text_slices(batch.column(0)):
+            sets = shingle_sets(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(class_ids(sets), pa.int64()), lists(sets)], ["class", "shingles"])
+
+
+def sets_of(classes: DataFrame, need: DataFrame, texts: DataFrame) -> DataFrame:
+    """(class, whole set), each class once, for at least the classes needed; ``classes`` names a row for each.
+
+    The scan keeps rows whose key passes a bounded bitmap, and their sets meet by class: texts cross no shuffle.
+    """
+    rows = classes.select("class", "row").join(need, "class", "left_semi").select("row")
+    found = maybe_in(texts, texts["row"], rows).select("text").mapInArrow(whole_sets, "class long, shingles array<long>")
+    return found.groupBy("class").agg(F.first("shingles").alias("shingles"))
 
 
 def touched(frequent: np.ndarray):
-    """(row, prefix) -> rows whose prefix has a frequent column."""
+    """(row, prefix) -> keys of the rows whose prefix has a frequent column."""
 
     def run(batches):
         for batch in batches:
@@ -356,7 +367,7 @@ def dense_product(batches):
     yield from flush()
 
 
-def dense_links(hot: DataFrame, rows: DataFrame, texts: DataFrame, size: int = 512) -> DataFrame:
+def dense_links(hot: DataFrame, classes: DataFrame, texts: DataFrame, size: int = 512) -> DataFrame:
     """Links between components among sets whose prefixes reach into frequent columns (class, component, often).
 
     Sets that hang together through such columns form one block.  A block is dealt out as pairs of
@@ -371,27 +382,25 @@ def dense_links(hot: DataFrame, rows: DataFrame, texts: DataFrame, size: int = 5
     member = durable(hot.select("class", "component").join(block, "class"), "member")
     parts = member.groupBy("block").agg(F.count(F.lit(1)).alias("g")).filter("g > 1").select("block", F.ceil(F.col("g") / size).cast("int").alias("k"))
     placed = member.join(parts, "block").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("k")).cast("int"))
-    keys = durable(rows.select("class", "row").join(placed.select("class"), "class", "left_semi").groupBy("class").agg(F.min("row").alias("row")), "keys")
-    sets = durable(maybe_in(texts, texts["row"], keys.select("row")).join(keys, "row").select("class", "text").mapInArrow(whole_sets, "class long, shingles array<long>").dropDuplicates(["class"]), "sets")
+    sets = durable(sets_of(classes, placed.select("class"), texts), "sets")
     dealt = placed.withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
     dealt = dealt.select("block", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "class", "component").join(sets, "class")
     group = ["block", "low", "high"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = dealt.select(*group, "mine", "class", "component", "shingles").repartition(n, *group).sortWithinPartitions(*group)
-    return durable(met.mapInArrow(dense_product, "src long, dst long").hint("rebalance"), "links")
+    links = durable(met.mapInArrow(dense_product, "src long, dst long").hint("rebalance"), "links")
+    release(hot, member, sets)
+    return links
 
 
-def verify(pairs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs of classes whose whole sets have Jaccard >= 0.8.
 
-    One text of every class needed is fetched (the scan keeps rows whose key passes a bounded bitmap, then joins
-    exactly).  A pair meets at its src; a src with many partners is split over salts.
+    One text of every class needed is read again.  A pair meets at its src; a src with many partners is split over salts.
     """
     spark = pairs.sparkSession
     need = pairs.select(F.col("src").alias("class")).union(pairs.select(F.col("dst").alias("class"))).distinct()
-    keys = durable(rows.select("class", "row").join(need, "class", "left_semi").groupBy("class").agg(F.min("row").alias("row")), "keys")
-    found = maybe_in(texts, texts["row"], keys.select("row")).join(keys, "row").select("class", "text")
-    sets = durable(found.mapInArrow(whole_sets, "class long, shingles array<long>"), "sets")
+    sets = durable(sets_of(classes, need, texts), "sets")
     fan = pairs.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("fan"))
     salted = pairs.join(fan, "src").select("src", "dst", F.pmod(F.xxhash64("dst"), F.col("fan")).cast("int").alias("salt"))
     partners = salted.join(sets, salted["dst"] == sets["class"]).select("src", "salt", F.lit(1).alias("tag"), "dst", "shingles")
@@ -399,7 +408,7 @@ def verify(pairs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = centres.union(partners).repartition(n, "src", "salt").sortWithinPartitions("src", "salt", "tag")
     links = durable(met.mapInArrow(compare, "src long, dst long").hint("rebalance"), "links")
-    release(keys, sets)
+    release(sets)
     return links
 
 
@@ -438,10 +447,13 @@ def vertices(docs: DataFrame, frequent: int = FREQUENT, max_frequent: int = MAX_
     ``frequent`` and ``max_frequent`` only tune the order of columns; links do not depend on them.
     """
     own = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     rows = cached(own.mapInArrow(profile, f"doc_id {kind}, row long, n long, class long, prefix array<long>"))
-    full = rows.filter("n > 0")
-    classes = cached(full.groupBy("class").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    classes = durable(rows.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("row").alias("row")), "classes")
+    known_rows = durable(rows.select("doc_id", "row", "n", "class"), "rows")
+    rows.unpersist()
+    rows, full = known_rows, known_rows.filter("n > 0")
+    texts = own.select("row", "text")
 
     # contraction: near copies through their smallest hashes
     # (a centre has about its members' size, so that a passage alone does not draw documents of all sizes to one centre)
@@ -450,40 +462,48 @@ def vertices(docs: DataFrame, frequent: int = FREQUENT, max_frequent: int = MAX_
     centre = low.groupBy("token", "band").agg(F.min(F.struct("class", "n")).alias("c"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("token", "band", F.col("c.class").alias("src"), F.col("c.n").alias("cn"))
     near = low.join(centre, ["token", "band"]).filter(f"class != src and 100 * least(n, cn) >= {PERCENT} * greatest(n, cn)")
     near = near.groupBy("src", F.col("class").alias("dst")).agg(F.count(F.lit(1)).alias("shared"), F.first("p").alias("p")).filter(f"4 * shared >= least(p, {BOTTOM})")
-    first = verify(durable(near.select("src", "dst"), "near"), full, own.select("row", "text"))
+    near = durable(near.select("src", "dst"), "near")
+    first = verify(near, classes, texts)
     part = durable(connected_components(first).withColumnRenamed("id", "class"), "parts")
+    release(near, first)
+    swept(spark)
 
     # the order of columns: frequent ones last
     # (counted over all documents, near copies once)
     inner = durable(part.filter("class != component").select("class"), "inner")
     often = without(classes.select("class", "prefix"), F.col("class"), inner).select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > frequent)
-    texts = own.select("row", "text")
     listed, counts = most_frequent(often, max_frequent)
     if len(listed):
         # prefixes without these columns reach further: the columns found there are counted too
-        reach = durable(full.select("row", "prefix").mapInArrow(touched(listed), "row long"), "reach")
+        reach = durable(classes.select("row", "prefix").mapInArrow(touched(listed), "row long"), "reach")
         more = maybe_in(texts, texts["row"], reach).select("text").mapInArrow(repeated_columns, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > frequent)
         listed, counts = joined_counts((listed, counts), most_frequent(more, max_frequent))
+        release(reach)
+    release(inner)
     kept = classes.mapInArrow(untouched(listed), "class long, n long, prefix array<long>").select("class", "n", F.col("prefix").alias("rare"), F.array().cast("array<long>").alias("often"))
     if len(listed):
-        reach = durable(full.select("row", "prefix").mapInArrow(touched(listed), "row long"), "reach")
+        reach = durable(classes.select("row", "prefix").mapInArrow(touched(listed), "row long"), "reach")
         changed = maybe_in(texts, texts["row"], reach).select("text").mapInArrow(reordered(listed, counts), "class long, n long, rare array<long>, often array<long>")
         kept = kept.union(changed.groupBy("class").agg(F.first("n"), F.first("rare"), F.first("often")))
     known = kept.join(part, "class", "left").withColumn("component", F.coalesce("component", "class"))
     columns = known.select("class", "n", F.size("often").cast("long").alias("h"), "component", "rare")
 
     # the blocked product over rare columns
-    n_blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = columns.select(F.explode("rare").alias("token"), "class", "n", "h", "component")
     dealt = entries.repartition(n_blocks, "token").sortWithinPartitions("token", "component")
     counted = dealt.mapInArrow(block_product, "src long, dst long, bound long").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("shared"), F.first("bound").alias("bound"))
     pairs = counted.filter("shared >= bound").select("src", "dst")
-    second = verify(durable(pairs, "pairs"), full, own.select("row", "text"))
+    pairs = durable(pairs, "pairs")
+    second = verify(pairs, classes, texts)
+    release(pairs)
+    swept(spark)
     if len(listed):
-        second = second.union(dense_links(known.filter("size(often) > 0").select("class", "component", "often"), full, own.select("row", "text")))
+        second = second.union(dense_links(known.filter("size(often) > 0").select("class", "component", "often"), classes, texts))
 
     links = part.filter("class != component").select(F.col("class").alias("src"), F.col("component").alias("dst")).union(second)
     member = connected_components(links).select(F.col("id").alias("class"), F.col("component").alias("root"))
+    release(classes, part)
     least = full.groupBy("class").agg(F.min("doc_id").alias("least")).join(member, "class", "left").withColumn("root", F.coalesce("root", "class"))
     name = least.groupBy("root").agg(F.min("least").alias("component_id"))
     info = least.join(name, "root").select("class", "root", "component_id")
