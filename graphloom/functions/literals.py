@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.plans.rdf import BOOLEAN, DATETIME, DECIMAL, DOUBLE, FLOAT, INTEGER, INTEGER_RANGES, IRI_PATTERN, XSD
+from graphloom.plans.rdf import BOOLEAN, DATETIME, DECIMAL, DOUBLE, FLOAT, INTEGER, INTEGER_RANGES, XSD
 
 NUMBER = "^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)$"
 FLOATING = "^([+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?|[+-]?INF|NaN)$"
@@ -17,6 +17,8 @@ DATE_TIME = (
     "^-?([1-9][0-9]{3,}|0[0-9]{3})-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])T"
     "(([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]([.][0-9]+)?|24:00:00([.]0+)?)(Z|[+-](0[0-9]|1[0-3]):[0-5][0-9]|[+-]14:00)?$"
 )
+IRI_CHARACTERS = r'[^\x00-\x20<>"{}|\\^`%]*+'
+VALID_IRI = rf"^[A-Za-z][A-Za-z0-9+.\-]*+:{IRI_CHARACTERS}(?:%[0-9A-Fa-f]{{2}}{IRI_CHARACTERS})*+\z"
 USUAL_DATE_TIME = r"^[1-9][0-9]{3}-(0[1-9]|1[0-2])-(0[1-9]|1[0-9]|2[0-8])T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]Z?\z"
 
 
@@ -27,11 +29,17 @@ def when(cond: Column, value: Column) -> Column:
 
 def blank_to_null(text: Column) -> Column:
     """Null for text of white space only (Unicode white space)."""
-    return F.when(F.regexp_like(text, F.lit(r"(?U)\S")), text)
+    return unless_blank(text, text)
+
+
+def unless_blank(text: Column, value: Column) -> Column:
+    """Null where the text is of white space only, else the value."""
+    return F.when(F.ascii(text).between(33, 126) | F.regexp_like(text, F.lit(r"(?U)\S")), value)
 
 
 def valid_iri(text: Column) -> Column:
-    return F.regexp_like(text, F.lit(IRI_PATTERN.replace("$", r"\z")))
+    """Does the text match ``IRI_PATTERN``?  Written without alternatives in a loop, which Java matches one call deep for each character."""
+    return F.regexp_like(text, F.lit(VALID_IRI))
 
 
 def let(value: Column, body) -> Column:
@@ -47,6 +55,17 @@ def strip_zeros(number: Column) -> Column:
     return number
 
 
+def point_trimmed(number: Column) -> Column:
+    """Decimal text with a point and digits on both sides, without needless zeros at its end; -0 stays."""
+    return F.rtrim(F.rtrim(number, F.lit("0")), F.lit("."))
+
+
+def decimal_text(value: Column, scale: int) -> Column:
+    """A Spark decimal in canonical form."""
+    text = value.cast("string")
+    return point_trimmed(text) if scale > 0 else text
+
+
 def integer_text(text: Column) -> Column:
     short = F.regexp_replace(F.regexp_replace(text, "^[+]", ""), "^(-?)0+(?=[0-9])", "$1")
     return F.when(F.regexp_like(text, F.lit(r"^[+-]?[0-9]+\z")), F.regexp_replace(short, "^-0$", "0"))
@@ -70,9 +89,8 @@ def _double_text(value: Column) -> Column:
 
 def double_text(value: Column) -> Column:
     """A double (or float) without exponent, shortest form; INF, -INF, NaN."""
-    usual = strip_zeros(value.cast("string").try_cast("decimal(38,18)").cast("string"))
     return (
-        F.when((F.abs(value) >= 0.1) & (F.abs(value) < 1e19), usual)
+        F.when((F.abs(value) >= 0.001) & (F.abs(value) < 1e7) | (value == 0), point_trimmed(value.cast("string")))  # written without exponent
         .when(F.isnan(value), F.lit("NaN"))
         .when(value == float("inf"), F.lit("INF"))
         .when(value == float("-inf"), F.lit("-INF"))
@@ -165,7 +183,8 @@ def cell_text(col: Column, kind: T.DataType) -> Column:
 
         near = F.regexp_replace(double_text(col), "^(-?[0-9]+)$", "$1.0")
         extreme = ((F.abs(col) >= 1e16) & (F.abs(col) < float("inf"))) | ((F.abs(col) < 1e-5) & (col != 0))
-        return F.when(extreme, let(col.cast("string"), far)).otherwise(near)
+        usual = (F.abs(col) >= 0.001) & (F.abs(col) < 1e7)  # written without exponent
+        return F.when(usual, col.cast("string")).when(extreme, let(col.cast("string"), far)).otherwise(near)
     if isinstance(kind, T.DateType):
         return F.date_format(col, "yyyy-MM-dd")
     if isinstance(kind, T.TimestampNTZType):

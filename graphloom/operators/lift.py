@@ -64,10 +64,9 @@ def expand_cell(text: Column, prefixes: Prefixes) -> Column:
     if not prefixes:
         return text
     table = F.create_map(*[F.lit(x) for pair in prefixes.items() for x in pair])
-    colon = F.locate(":", text)
-    local = text.substr(colon + 1, F.length(text))
-    namespace = F.element_at(table, text.substr(F.lit(1), colon - 1))
-    return F.when((colon > 0) & namespace.isNotNull() & ~local.startswith("//"), F.concat(namespace, local)).otherwise(text)
+    local = F.substring(text, F.locate(":", text) + 1, F.lit(2**31 - 1))
+    namespace = F.when(text.contains(":"), F.try_element_at(table, F.substring_index(text, ":", 1)))
+    return F.coalesce(F.concat(namespace, F.when(~local.startswith("//"), local)), text)
 
 
 def typed_cell(col: Column, kind: T.DataType, datatype: str, bind_empty: bool) -> Val:
@@ -79,15 +78,18 @@ def typed_cell(col: Column, kind: T.DataType, datatype: str, bind_empty: bool) -
     if isinstance(kind, T.DateType) and datatype == DATE:
         return Val("lit", L.cell_text(col, kind), datatype, safe=True)
     if isinstance(kind, T.DecimalType) and datatype == DECIMAL:
-        return Val("lit", L.strip_zeros(col.cast("string")), datatype, native=col, safe=True)
+        return Val("lit", L.decimal_text(col, kind.scale), datatype, native=col, safe=True)
     if isinstance(kind, T.DoubleType) and datatype in (DOUBLE, DECIMAL):
         text = L.double_text(col)
         if datatype == DECIMAL:
-            usual = (F.abs(col) < 1e16) & ((F.abs(col) >= 1e-5) | (col == 0))
-            text = F.when(usual, F.when(col == 0, F.lit("0")).otherwise(text)).otherwise(L.cell_text(col, kind))
+            extreme = (F.abs(col) >= 1e16) | (F.abs(col) < 1e-5) & (col != 0) | F.isnan(col)
+            text = F.when(extreme, L.cell_text(col, kind)).otherwise(text)
         return Val("lit", text, datatype, native=col, safe=True)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) and datatype == DATETIME:
         # well formed by construction: only zeros at the end of the fraction go
+        if isinstance(kind, T.TimestampNTZType):  # a cast writes no such zeros; years before 1 have a sign that it writes otherwise
+            text = F.when(F.year(col) >= 1, F.replace(col.cast("string"), F.lit(" "), F.lit("T"))).otherwise(F.regexp_replace(L.cell_text(col, kind), "([.][0-9]*?)0+(Z?)$", "$1$2"))
+            return Val("lit", text, datatype, safe=True)
         text = F.regexp_replace(L.cell_text(col, kind), "([.][0-9]*?)0+(Z?)$", "$1$2")
         return Val("lit", text, datatype, safe=True)
     text = plain_cell(col, kind, bind_empty)
@@ -106,6 +108,8 @@ def convert(col: Column, kind: T.DataType, how: Conversion, prefixes: Prefixes,
     if how.kind == "typed":
         return typed_cell(col, kind, how.argument, bind_empty)
     if how.kind == "iri":
+        if isinstance(kind, T.StringType) and not bind_empty:  # blank text is no prefixed name
+            return Val("iri", L.unless_blank(col, expand_cell(col, prefixes)))
         return Val("iri", expand_cell(plain_cell(col, kind, bind_empty), prefixes))
     text = plain_cell(col, kind, bind_empty)
     return Val("lit", text, lang=how.argument) if how.kind == "lang" else Val("lit", text, STRING, safe=not isinstance(kind, T.StringType))

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from graphloom.plans.model import Block, BNodePat, ConstPat, ListPat, Pattern, Repeat, TermPat, VarPat
-from graphloom.plans.rdf import FIRST, NIL, REST, ListTerm
+from graphloom.plans.rdf import FIRST, IRI, NIL, REST, ListTerm, Literal
 from graphloom.plans.typed import Val, constant, dyn, list_of, render, same_kind
 
 TRIPLE = "struct<subject:string,predicate:string,object:string>"
@@ -39,7 +39,7 @@ class Shaper:
         self.lists = 0
 
     def triples(self, block: Block, place: Place | None = None, values: dict[str, Val] | None = None) -> Column | None:
-        """array<struct<subject, predicate, object>>, or None where nothing can be made."""
+        """array<struct<subject, predicate, object>> with null for what is not made, or None where nothing can be made."""
         values = self.values if values is None else values
         place = place or Place()
         parts, single = [], []
@@ -49,7 +49,7 @@ class Shaper:
                 single.append(one)
             parts += more
         if single:
-            parts.insert(0, F.array_compact(F.array(*single)))
+            parts.insert(0, F.array(*single))
         for r in block.repeats:
             if (made := self.repeat(r, place, values)) is not None:
                 parts.append(made)
@@ -215,6 +215,44 @@ class Shaper:
         return F.when(every, made).otherwise(empty)
 
 
+def surely_distinct(block: Block, values: dict[str, Val]) -> bool:
+    """Can no two triples of a row be equal?  Every two patterns differ in a term that is fixed or of another kind."""
+
+    def sort(t: TermPat) -> tuple:
+        """What is known of the term: ("term", it), ("node", its id) or ("kind", ...)."""
+        if isinstance(t, ConstPat):
+            return "term", t.term
+        if isinstance(t, BNodePat):
+            return "node", (t.id, t.scope)
+        v = values.get(t.name) if isinstance(t, VarPat) else None
+        if v is None or t.fallback is not None or v.kind not in ("iri", "lit"):
+            return "any", None
+        return "kind", ("iri",) if v.kind == "iri" else ("lit", v.datatype, v.lang if isinstance(v.lang, str) else "" if v.lang is None else None)
+
+    def of(term) -> tuple | None:
+        return ("iri",) if isinstance(term, IRI) else ("lit", term.datatype, term.lang or "") if isinstance(term, Literal) else None
+
+    def differ(a: tuple, b: tuple) -> bool:
+        if "any" in (a[0], b[0]):
+            return False
+        if a[0] == b[0]:
+            if a[0] == "kind" and a[1][0] == b[1][0] == "lit" and None in (a[1][2], b[1][2]):
+                return a[1][1] != b[1][1]
+            return a[1] != b[1]
+        if "node" in (a[0], b[0]):
+            other = b if a[0] == "node" else a
+            return other[0] == "kind" or of(other[1]) is not None
+        kind, term = (a[1], of(b[1])) if a[0] == "kind" else (b[1], of(a[1]))
+        return term is not None and (term[0] != kind[0] or kind[0] == "lit" and term[1] != kind[1])
+
+    if block.repeats or any(isinstance(p.object, ListPat) or isinstance(p.object, ConstPat) and isinstance(p.object.term, ListTerm) for p in block.patterns):
+        return False
+    known = [tuple(sort(t) for t in (p.subject, p.predicate, p.object)) for p in block.patterns]
+    if any(isinstance(p.object, VarPat) and (v := values.get(p.object.name)) is not None and v.kind == "list" for p in block.patterns):
+        return False
+    return all(any(differ(x, y) for x, y in zip(a, b, strict=True)) for i, a in enumerate(known) for b in known[:i])
+
+
 def always(block: Block) -> list[Pattern]:
     """Patterns without variables: equal for every row."""
     return [p for p in block.patterns if not p.requires and all(isinstance(t, ConstPat) for t in (p.subject, p.predicate, p.object))]
