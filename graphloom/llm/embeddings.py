@@ -6,7 +6,8 @@ a table's code meet in a bucket, where a block product gives their exact cosines
 The number of bits follows the number of classes, and the number of tables the bits:
 a pair exactly at the threshold is missed with probability ``miss`` at most.
 Buckets over ``block`` rows are dealt out as pairs of blocks, so no task holds a whole large bucket.
-A pair is written in the first table in which it meets, so links need no de-duplication.
+A pair counts in the first table in which it meets, so links need no de-duplication.  What a group writes is its classes'
+numbers of links and a spanning forest of them, not its pairs.
 """
 
 from __future__ import annotations
@@ -69,11 +70,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
                 on = (x @ planes(int(dim), bits, tables) > 0).reshape(len(rows), tables, bits)
                 codes[rows] = on @ (1 << np.arange(bits)).astype(np.int32)
             flat = pa.array(codes.ravel(), pa.int32())
-            yield pa.RecordBatch.from_arrays([ids, labels, lists, pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * tables, pa.int32()), flat)], ["class", "label", "embedding", "codes"])
+            yield pa.RecordBatch.from_arrays([ids, labels, lists, batch.column(3), pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * tables, pa.int32()), flat)], ["class", "label", "embedding", "copies", "codes"])
 
     kinds = {f.name: f.dataType.simpleString() for f in classes.schema.fields}
     signed = durable(
-        classes.select("class", "label", "embedding").mapInArrow(sign, f"class long, label {kinds['label']}, embedding {kinds['embedding']}, codes array<int>"), "signed"
+        classes.select("class", "label", "embedding", "copies").mapInArrow(sign, f"class long, label {kinds['label']}, embedding {kinds['embedding']}, copies long, codes array<int>"), "signed"
     )
     placed = signed.select("class", "label", F.size("embedding").alias("dim"), F.posexplode("codes").alias("tab", "code"))
     bucket = ["tab", "code", "label", "dim"]
@@ -81,20 +82,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     met = placed.join(sizes, bucket).withColumn("mine", F.pmod("class", "parts").cast("int"))
     met = met.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     met = met.select("class", *bucket, "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-    rows = met.join(signed.select("class", "embedding", "codes"), "class")
+    rows = met.join(signed.select("class", "embedding", "copies", "codes"), "class")
     group = [*bucket, "low", "high"]
     n_parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n_parts, *group).sortWithinPartitions(*group).select(*group, "mine", "class", "embedding", "codes")
+    dealt = rows.repartition(n_parts, *group).sortWithinPartitions(*group).select(*group, "mine", "class", "embedding", "copies", "codes")
 
     def product(batches):
         """Exact cosines within each group; groups are runs of the sorted rows."""
         held = None
-        out: list[np.ndarray] = []
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # src, and a linked dst (n -1) or its number of links n
 
-        def group_pairs(t: pa.Table):
+        def group_links(t: pa.Table):
             dim, tab = t.column("dim")[0].as_py(), t.column("tab")[0].as_py()
             low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
-            ids = t.column("class").to_numpy()
+            ids, copies = t.column("class").to_numpy(), t.column("copies").to_numpy()
             x = unit_rows(t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False), dim)
             codes = t.column("codes").combine_chunks().flatten().to_numpy().reshape(len(ids), tables)
             if low == high:
@@ -102,14 +103,30 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
             else:
                 mine = t.column("mine").to_numpy()
                 left, right = np.flatnonzero(mine == low), np.flatnonzero(mine == high)
+            counts, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+            tied = []
             for i in range(0, len(left), 512):
                 rows = left[i : i + 512]
                 a, b = np.nonzero(x[rows] @ x[right].T >= threshold)
                 a, b = rows[a], right[b]
                 if low == high:
                     a, b = a[a < b], b[a < b]
-                first = ~(codes[a, :tab] == codes[b, :tab]).any(axis=1)
-                out.append(np.stack([np.minimum(ids[a], ids[b])[first], np.maximum(ids[a], ids[b])[first]], axis=1))
+                first = np.ones(len(a), bool)
+                for k in range(tab):
+                    first &= codes[a, k] != codes[b, k]
+                np.add.at(counts, a[first], copies[b[first]])
+                np.add.at(counts, b[first], copies[a[first]])
+                cuts = [*np.searchsorted(a, np.unique(a)).tolist(), len(a)]
+                for start, stop in zip(cuts, cuts[1:]):
+                    trees = np.unique(label[np.append(b[start:stop], a[start])])
+                    if len(trees) > 1:
+                        label[np.isin(label, trees)] = trees[0]
+                        tied += [(trees[0], k) for k in trees[1:]]
+            some = np.flatnonzero(counts)
+            out.append((ids[some], np.zeros(len(some), np.int64), counts[some]))
+            if tied:
+                pairs = ids[np.array(tied)]
+                out.append((pairs[:, 0], pairs[:, 1], np.full(len(pairs), -1)))
 
         def finish(t: pa.Table):
             keys = [t.column(c).combine_chunks() for c in group]
@@ -120,12 +137,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
             cuts = [0, *np.flatnonzero(change).tolist(), t.num_rows]
             for a, b in zip(cuts, cuts[1:]):
                 if b - a > 1:
-                    group_pairs(t.slice(a, b - a))
+                    group_links(t.slice(a, b - a))
 
         def flush():
-            pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+            src, dst, n = (np.concatenate([np.empty(0, np.int64), *(x[k] for x in out)]) for k in range(3))
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
+            return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst, mask=n >= 0), pa.array(n, mask=n < 0)], ["src", "dst", "n"])
 
         for batch in batches:
             now = pa.Table.from_batches([batch])
@@ -144,12 +161,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
             finish(held)
             yield flush()
 
-    links = durable(dealt.mapInArrow(product, "src long, dst long"), "links")
+    found = durable(dealt.mapInArrow(product, "src long, dst long, n long"), "links")
     release(signed)
-    both = links.union(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    weight = classes.select(F.col("class").alias("dst"), "copies")
-    beyond = both.join(weight, "dst").groupBy(F.col("src").alias("class")).agg(F.sum("copies").alias("beyond"))
-    member = connected_components(links).select(F.col("id").alias("class"), "component")
+    beyond = found.filter("n is not null").groupBy(F.col("src").alias("class")).agg(F.sum("n").alias("beyond"))
+    member = connected_components(found.filter("n is null").select("src", "dst")).select(F.col("id").alias("class"), "component")
     info = classes.select("class", "copies", "least").join(member, "class", "left").join(beyond, "class", "left")
     info = info.withColumn("component", F.coalesce("component", "class"))
     roots = info.groupBy("component").agg(F.min("least").alias("component_id"))
