@@ -254,21 +254,43 @@ def term_text(x: str, kind: str | None, is_iri: bool, prefixes: dict) -> str:
 
 
 def split_brackets(cell: str, separator: str) -> list:
-    """Items of a list cell; brackets nest, and a cell without them is one list."""
-    text = cell.strip()
-    if not (text.startswith("(") and text.endswith(")")):
-        return [x.strip() for x in text.split(separator)]
-    out, item, depth = [], "", 0
-    for c in text[1:-1]:
-        depth += (c == "(") - (c == ")")
-        if c == separator and depth == 0:
-            out.append(item)
-            item = ""
-        else:
-            item += c
-    if text[1:-1].strip() or out:
-        out.append(item)
-    return [split_brackets(x, separator) if x.strip().startswith("(") and x.strip().endswith(")") else x.strip() for x in out]
+    """Items of a list cell; brackets nest, and a cell without them is one list.  The brackets match (see ``bad_brackets``)."""
+    if "(" not in cell:
+        return [x.strip() for x in cell.split(separator)]
+    parts = [p.strip() for p in re.split(r"([()])", cell.strip())[1:-1]]
+    open_lists: list[list] = [[]]
+    for i, part in enumerate(parts):
+        if part == "(":
+            open_lists.append([])
+        elif part == ")":
+            done = open_lists.pop()
+            open_lists[-1].append(done)
+        elif part:
+            # a separator beside a nested list stands for no item
+            mark = separator.strip() or separator
+            if parts[i - 1] == ")":
+                part = part.removeprefix(mark)
+            if parts[i + 1] == "(":
+                part = part.removesuffix(mark)
+            if part or parts[i - 1] == "(" and parts[i + 1] == ")":
+                open_lists[-1] += [x.strip() for x in part.split(separator)]
+    return open_lists[0][0]
+
+
+def bad_brackets(text: Column) -> Column:
+    """Does the cell have brackets that do not match, or text outside the outer ones?"""
+    only = F.regexp_replace(text, "[^()]", "")
+    depth = F.aggregate(
+        F.filter(F.split(only, ""), lambda x: x != ""),
+        F.struct(F.lit(0).alias("depth"), F.lit(False).alias("bad"), F.lit(False).alias("shut")),
+        lambda s, c: F.struct(
+            (s["depth"] + F.when(c == "(", 1).otherwise(-1)).alias("depth"),
+            (s["bad"] | s["shut"] | ((c == ")") & (s["depth"] == 0))).alias("bad"),
+            ((c == ")") & (s["depth"] == 1)).alias("shut"),
+        ),
+        lambda s: s["bad"] | (s["depth"] != 0),
+    )
+    return F.when(only != "", depth | ~F.regexp_like(text, F.lit(r"(?s)^\s*\(.*\)\s*\z"))).otherwise(False)
 
 
 def collection(name: str, items: list, render_item) -> dict:
@@ -297,7 +319,9 @@ def list_argument(text: Column, a: ArgumentMap, prefixes: Prefixes, label: Colum
     item, bad, what = read_as(F.lit(None).cast("string"), a.list_of, a, prefixes)
     read = F.transform(items, lambda x: read_as(x, a.list_of, a, prefixes)[0].text)
     wrong = None if bad is None else F.exists(items, lambda x: read_as(x, a.list_of, a, prefixes)[1])
-    nested = nested_list(label, text, sep, a.list_of, prefixes)
+    broken = text.isNotNull() & bad_brackets(text)
+    wrong = broken if wrong is None else broken | F.coalesce(wrong, F.lit(False))
+    nested = nested_list(label, F.when(~broken, text), sep, a.list_of, prefixes)
     return Val("list", F.when(text.isNotNull(), read), item=item, native=nested), wrong, f"a list of items {what}"
 
 

@@ -6,7 +6,13 @@ Exit status: 0 ok; 1 an error, rows left out, or lint errors; 2 wrong usage; 3 o
 from __future__ import annotations
 
 import argparse
+import atexit
+import os
+import re
+import shutil
 import sys
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -106,13 +112,32 @@ def mapping_of(args) -> Mapping:
     return Mapping.ottr(args.library, args.template, dict(getattr(args, "list", [])), dict(getattr(args, "lang", [])))
 
 
+def spooled(spark: SparkSession, stream) -> str:
+    """Standard input as a file that the executors can read: in spark.checkpoint.dir, or a temporary one with a local master."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+        raise ValueError("standard input needs spark.checkpoint.dir, a folder that the executors share")
+    folder = tempfile.mkdtemp(prefix="graphloom-in-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    local = os.path.join(folder, "stdin.csv")
+    with open(local, "wb") as out:
+        shutil.copyfileobj(stream, out)
+    if shared is None:
+        return local
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/stdin-{uuid.uuid4().hex}.csv")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.copyFromLocalFile(spark._jvm.org.apache.hadoop.fs.Path("file://" + local), path)
+    system.deleteOnExit(path)
+    return path.toString()
+
+
 def run(args) -> int:
     mapping, spark = mapping_of(args), session()
     source = args.input or (mapping.plan.query.source if mapping.plan.query is not None else None)
-    if not source:
-        print("no input: name one with -i", file=sys.stderr)
+    if not source and sys.stdin.isatty():
+        print("no input: name one with -i, or send CSV to standard input", file=sys.stderr)
         return 2
-    source = source.removeprefix("file://")
+    source = source.removeprefix("file://") if source and source != "-" else spooled(spark, sys.stdin.buffer)
     options = {} if source.endswith((".parquet", ".arrow", ".ipc", ".feather")) else {"delimiter": args.delimiter, "quote": args.quote, "escape": args.escape, "header": not args.no_header, "upper": args.upper, "bind_empty": args.bind_empty_strings}
     df = read_table(spark, source, **options)
     if args.test is not None:
@@ -120,11 +145,14 @@ def run(args) -> int:
     df = number_rows(df, "_gl_rownum")
     for column, new, separator in args.split:
         df = split_column(df, column, new, separator)
-    bad = mapping.left_out(df, bind_empty_strings=args.bind_empty_strings).collect() if mapping.plan.query is None else []
-    for r in bad[:10]:
-        print(r.message, file=sys.stderr)
+    bad = 0
+    if mapping.plan.query is None:
+        cells = mapping.left_out(df, bind_empty_strings=args.bind_empty_strings)
+        for r in (shown := cells.limit(10).collect()):
+            print(r.message, file=sys.stderr)
+        bad = cells.select("row").distinct().count() if shown else 0
     if bad:
-        print(f"{len({r.row for r in bad})} rows left out", file=sys.stderr)
+        print(f"{bad} rows left out", file=sys.stderr)
         if args.strict:
             return 1
     triples = mapping.triples(df, bind_empty_strings=args.bind_empty_strings, row_number="_gl_rownum")
@@ -163,9 +191,9 @@ def main(argv: list[str] | None = None) -> int:
             deliver(expand_instances(session(), library, *args.instances), args, library.prefixes)
             return 0
         result = run_maps(session(), library, *args.maps)
-        bad = result.left_out.collect()
+        bad = result.left_out.limit(10).collect()
         deliver(result.triples, args, library.prefixes)
-        for r in bad[:10]:
+        for r in bad:
             print(f"map {r.map + 1}: {r.message}", file=sys.stderr)
         return 1 if bad else 0
     except (ValueError, OSError) as error:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import functools
 import operator
 import re
@@ -24,28 +25,11 @@ class LeftOut(ValueError):
     """Strict mode: some rows hold cells that cannot be read."""
 
 
-def distance(a: str, b: str, limit: int) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            now.append(min(row[j] + 1, now[j - 1] + 1, row[j - 1] + (x != y)))
-        if min(now) > limit:
-            return limit + 1
-        row = now
-    return row[-1]
-
-
 def nearest(name: str, columns: list[str]) -> str | None:
     """The column that a mistyped name most likely means."""
-    fold = lambda s: re.sub(r"[\W_]", "", s).casefold()
-    own, best = fold(name), None
-    limit = 0 if len(own) < 4 else 1 if len(own) < 8 else 2
-    for c in columns:
-        d = distance(own, fold(c), limit)
-        if d <= limit and (best is None or d < best[0]):
-            best = (d, c)
-    return best[1] if best else None
+    plain = {"".join(x for x in c.lower() if x.isalnum()): c for c in reversed(columns)}
+    found = difflib.get_close_matches("".join(x for x in name.lower() if x.isalnum()), plain, n=1, cutoff=0.8)
+    return plain[found[0]] if found else None
 
 
 def check_columns(bindings: list[Binding], columns: list[str]) -> None:

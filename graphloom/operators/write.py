@@ -105,17 +105,26 @@ def write_folder(triples: DataFrame, path: str, form: str = "ntriples", graph: s
 
 
 def write_file(triples: DataFrame, path: str, form: str = "ntriples", graph: str | None = None, prefixes: Prefixes | None = None, compress: bool = False) -> None:
-    """One file: parts are written by the executors, joined beside the target, and put in its place at the end."""
+    """One file on the driver, put in its place at the end.
+
+    With a local master the parts are written beside the target and joined; executors of a cluster have other
+    disks, so there the driver streams the rows, one partition after another.
+    """
     folder = tempfile.mkdtemp(prefix=".parts-", dir=os.path.dirname(os.path.abspath(path)) or ".")
+    master = triples.sparkSession.sparkContext.master
     try:
         target, whole = os.path.join(folder, "parts"), os.path.join(folder, "whole")
-        if form == "turtle":
-            turtle_subjects(triples, prefixes or Prefixes()).write.text("file://" + target)
-        else:
-            lines(triples, form, graph).write.text("file://" + target)
+        text = turtle_subjects(triples, prefixes or Prefixes()) if form == "turtle" else lines(triples, form, graph)
+        here = re.fullmatch(r"local(\[.*\])?", master) is not None
+        if here:
+            text.write.text("file://" + target)
+            if not os.path.exists(os.path.join(target, "_SUCCESS")):
+                raise OSError(f"the parts of {path} are not complete")
         with gzip.open(whole, "wb") if compress else open(whole, "wb") as out:
             if form == "turtle":
                 out.write(turtle_header(prefixes or Prefixes()).encode())
+            if not here:
+                out.writelines((r.value + "\n").encode() for r in text.toLocalIterator(prefetchPartitions=True))
             for part in sorted(glob.glob(os.path.join(target, "part-*"))):
                 with open(part, "rb") as f:
                     shutil.copyfileobj(f, out)

@@ -511,12 +511,87 @@ def findings(spark: SparkSession, d: str) -> DataFrame:
     return findings_frame(spark, Library.load(text))
 
 
-QUERIES["lint_findings"] = findings
+_T = "http://example.com/templates#"
+query(
+    "lint_findings",
+    f"select * from (values ('error', 'arity', '{_T}A', '<{_T}B> takes 1 arguments, not 2'), ('error', 'undefined-template', '{_T}A', '<{_T}Missing> is not defined'), "
+    f"('warning', 'unused-parameter', '{_T}A', '?unused is not used'), ('error', 'cycle', '{_T}B', 'uses itself')) as v(severity, \"check\", template, message)",
+)(findings)
+_SHAPE = [
+    ("<urn:shapes:shape0>", RDF_TYPE, "<http://www.w3.org/ns/shacl#NodeShape>"), ("<urn:shapes:shape0>", "targetClass", f"<{EX}Customer>"), *[("<urn:shapes:shape0>", "property", f"_:p{i}") for i in (1, 2, 3, 4)],
+    *[(f"_:p{i}", "path", x) for i, x in enumerate((f"<{EX}balance>", f"<{EX}name>", f"<{EX}segment>", RDF_TYPE), 1)], *[(f"_:p{i}", "datatype", f"<{XSD}{x}>") for i, x in ((1, "decimal"), (2, "string"), (3, "string"))],
+    *[(f"_:p{i}", "minCount", f'"1"^^<{XSD}integer>') for i in (2, 4)], ("_:p4", "nodeKind", "<http://www.w3.org/ns/shacl#IRI>"),
+]
+ORACLE_SQL["shapes_table"] = "select * from (values " + ", ".join(f"('{s}', '{x if x.startswith('<') else f'<http://www.w3.org/ns/shacl#{x}>'}', '{o}')" for s, x, o in _SHAPE) + ") as v(subject, predicate, object)"
 QUERIES["shapes_table"] = lambda spark, d: spark.createDataFrame([tuple(nt(t) for t in x) for x in shape_triples(_PRUNED.shapes())], "subject string, predicate string, object string")
 query("expand_instances", f"select '<{EX}a>' as subject, '<{EX}name>' as predicate, '\"Ann\"' as object union all select '<{EX}b>', '<{EX}name>', '\"Bob\"'")(
     lambda spark, d: expand_instances(spark, Library.load(HEAD + "t:N [ ottr:IRI ?x, xsd:string ?n ] :: { ottr:Triple(?x, ex:name, ?n) } ."), HEAD + '\nt:N(ex:a, "Ann") . t:N(ex:b, "Bob") . t:N(ex:c, none) .')
 )
 
+# ---- more functions, over larger tables
+_E = iri("event", "event_id")
+sparql(
+    "sparql_time_parts",
+    "?e ex:min ?m ; ex:sec ?s ; ex:tz ?z",
+    'BIND(IRI(CONCAT("http://example.com/event/", STR(?event_id))) AS ?e) BIND(xsd:dateTime(?at) AS ?t) BIND(MINUTES(?t) AS ?m) BIND(xsd:integer(SECONDS(?t)) AS ?s) BIND(TZ(?t) AS ?z)',
+    lambda spark, d: table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at")),
+    arms(arm(_E, p("min"), typed("minute(ts)", "integer"), "events"), arm(_E, p("sec"), typed("second(ts)", "integer"), "events"), arm(_E, p("tz"), "'\"Z\"'", "events")),
+)
+_LN2 = iri("line", "l_orderkey || '-' || l_linenumber")
+sparql(
+    "sparql_division_rounding",
+    "?o ex:half ?h ; ex:up ?u ; ex:down ?d ; ex:size ?a",
+    'BIND(IRI(CONCAT("http://example.com/line/", STR(?l_orderkey), "-", STR(?l_linenumber))) AS ?o) BIND(xsd:integer(?l_linenumber) AS ?n) BIND(?n / 4 AS ?h) BIND(CEIL(?h) AS ?u) BIND(FLOOR(?h) AS ?d) BIND(ABS(2 - ?n) AS ?a)',
+    lineitem,
+    arms(
+        arm(_LN2, p("half"), typed(num("l_linenumber / 4.0"), "decimal"), _LI), arm(_LN2, p("up"), typed("cast(ceil(l_linenumber / 4.0) as bigint)", "decimal"), _LI),
+        arm(_LN2, p("down"), typed("cast(floor(l_linenumber / 4.0) as bigint)", "decimal"), _LI), arm(_LN2, p("size"), typed("abs(2 - l_linenumber)", "integer"), _LI),
+    ),
+)
+sparql(
+    "sparql_term_fns",
+    "?o ex:l ?a ; ex:t ?b ; ex:lang ?c ; ex:dt ?d ; ex:iri ?e ; ex:in ?f ; ex:same ?g",
+    'BIND(IRI(CONCAT(STR(ord:), ?o_orderkey)) AS ?o) BIND(STRLANG(?o_orderpriority, "en") AS ?a) BIND(STRDT(STR(?o_custkey), ex:code) AS ?b) BIND(LANG(?a) AS ?c) BIND(DATATYPE(?b) AS ?d) BIND(isIRI(?o) && !isIRI(?a) && isLiteral(?b) AS ?e) BIND(?o_orderstatus IN ("F", "P") AS ?f) BIND(sameTerm(?o_orderstatus, "O") AS ?g)',
+    orders,
+    arms(
+        arm(_O, p("l"), lit("o_orderpriority") + " || '@en'", "orders"), arm(_O, p("t"), f"'\"' || o_custkey || '\"^^<{EX}code>'", "orders"), arm(_O, p("lang"), "'\"en\"'", "orders"), arm(_O, p("dt"), p("code"), "orders"),
+        arm(_O, p("iri"), typed("'true'", "boolean"), "orders"), arm(_O, p("in"), typed("cast(o_orderstatus in ('F', 'P') as varchar)", "boolean"), "orders"), arm(_O, p("same"), typed("cast(o_orderstatus = 'O' as varchar)", "boolean"), "orders"),
+    ),
+)
+
+
+def line_graph(spark, d):
+    """Each order's lines: their number and flag."""
+    o, n = F.concat(F.lit(f"<{EX}o"), "l_orderkey", F.lit(">")), F.concat(F.lit(f"<{EX}o"), "l_orderkey", F.lit("-"), "l_linenumber", F.lit(">"))
+    t = lambda s, pr, v: lineitem(spark, d).select(s.alias("subject"), F.lit(f"<{EX}{pr}>").alias("predicate"), v.alias("object"))
+    return t(o, "line", n).union(t(n, "number", F.concat(F.lit('"'), "l_linenumber", F.lit(f'"^^<{XSD}integer>')))).union(t(n, "flag", F.concat(F.lit('"'), "l_returnflag", F.lit('"')))).distinct()
+
+
+_LO = f"'<{EX}o' || l_orderkey || '>'"
+_AGGREGATES = parse_query(PREFIXES + "SELECT ?o (SUM(?n) AS ?s) (MIN(?n) AS ?low) (MAX(?n) AS ?high) (COUNT(DISTINCT ?f) AS ?c) WHERE { ?o ex:line ?l . ?l ex:number ?n ; ex:flag ?f } GROUP BY ?o")
+query("rdf_aggregates", f"select {_LO} as o, {typed('sum(l_linenumber)', 'integer')} as s, {typed('min(l_linenumber)', 'integer')} as low, {typed('max(l_linenumber)', 'integer')} as high, {typed('count(distinct l_returnflag)', 'integer')} as c from (select distinct l_orderkey, l_linenumber, l_returnflag from lineitem) group by l_orderkey")(
+    lambda spark, d: select_query(spark, _AGGREGATES, line_graph(spark, d))
+)
+_NESTED = Library.load(_PAIR_LIB)
+_NESTED_MAP = parse_maps(_MAP_HEAD + '@prefix t: <http://example.com/templates#> . [] a ottr:InstanceMap ; ottr:template t:L ; ottr:source [ a ottr:H2Source ] ; ottr:query "given" ; ottr:argumentMaps ( [ ottr:type ottr:IRI ] [ ottr:type ( rdf:List xsd:string ) ; ottr:listSep "; " ] ) .')[0]
+
+
+def bracket_cells(spark, d):
+    """Lists in brackets, some of which do not match: those rows are left out."""
+    cell = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("("), "c_name", F.lit("; "), "c_mktsegment", F.lit(")"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("("), "c_name")).otherwise(F.col("c_mktsegment"))
+    return table(spark, d, "customer").select(F.concat(F.lit("cust:"), "c_custkey"), cell)
+
+
+query(
+    "bottr_bracket_lists",
+    arms(arm(_C, p("v"), lit("w"), "(select c_custkey, unnest([c_name, c_mktsegment]) as w from customer where c_custkey % 3 = 0)"), arm(_C, p("v"), lit("c_mktsegment"), "customer", "c_custkey % 3 = 2")),
+)(lambda spark, d: run_map(spark, _NESTED, _NESTED_MAP, 0, bracket_cells(spark, d))[0])
+LIMITED_SHAPE = [NodeShape(EX + "Order", None, {EX + "total": PropertyShape(EX + "total", pattern=("^[1-9]+$", "")), EX + "buyer": PropertyShape(EX + "buyer", max_count=0)})]
+query("shacl_pattern", f"select {_OF} as focus, '\"' || case when o_orderkey % 7 = 0 then 'x' else cast(o_custkey as varchar) end || '\"^^<{XSD}integer>' as value from orders where o_orderkey % 5 <> 0 and (o_orderkey % 7 = 0 or not regexp_matches(cast(o_custkey as varchar), '^[1-9]+$'))")(
+    lambda spark, d: validate(order_graph(spark, d), LIMITED_SHAPE).filter("constraint = 'pattern'").select("focus", "value")
+)
+query("shacl_maxcount", f"select {_OF} as focus, cast(null as varchar) as value from orders")(lambda spark, d: validate(order_graph(spark, d), LIMITED_SHAPE).filter("constraint = 'maxCount'").select("focus", "value"))
+
 # ---- the order-line mapping of the benchmark
 ORDER_LINE = """
 t:Row [ ottr:IRI ?order, xsd:dateTime ?shipped, xsd:integer ?line, ottr:IRI ?part, ? ottr:IRI ?supplier, xsd:decimal ?quantity, ? xsd:decimal ?price, ? xsd:decimal ?discount, ? xsd:decimal ?tax, ? xsd:string ?flag, ? xsd:string ?status ] :: {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from graphloom.plans.model import Block, BNodePat, ConstPat, ListPat, Pattern, Plan, VarPat
-from graphloom.plans.rdf import IRI, LANG_STRING, SH, STRING, TYPE, XSD, BNode, Literal, nt
+from graphloom.plans.rdf import FIRST, IRI, LANG_STRING, NIL, REST, SH, STRING, TYPE, XSD, BNode, ListTerm, Literal, nt
 
 
 @dataclass
@@ -15,6 +15,11 @@ class PropertyShape:
     datatypes: set[str] = field(default_factory=set)
     node_kinds: set[str] = field(default_factory=set)  # iri, bnode, lit
     classes: set[str] | None = None  # None: not known
+    # of shapes that users write
+    max_count: int | None = None
+    pattern: tuple[str, str] | None = None  # expression, flags
+    among: tuple | None = None  # terms
+    has_values: tuple = ()
 
     def add(self, other: "PropertyShape") -> None:
         self.min_count = min(self.min_count, other.min_count)
@@ -288,8 +293,35 @@ def turtle(shapes: list[NodeShape], base: str = "urn:shapes:") -> str:
     return "".join(f"{nt(s)} {nt(p)} {nt(o)} .\n" for s, p, o in shape_triples(shapes, base))
 
 
+#: What constrains nothing, and what is read, of node shapes and property shapes.
+ANNOTATIONS = {SH + x for x in ("name", "description", "order", "group", "message", "severity", "defaultValue")}
+ON_NODES = ANNOTATIONS | {SH + x for x in ("targetClass", "targetNode", "property")}
+ON_PROPERTIES = ANNOTATIONS | {SH + x for x in ("path", "minCount", "maxCount", "datatype", "nodeKind", "class", "pattern", "flags", "in", "hasValue")}
+
+
+def refuse_unknown(pairs, known: set[str]) -> None:
+    for p, _ in pairs:
+        if p.startswith(SH) and p not in known:
+            raise ValueError(f"the constraint sh:{p.removeprefix(SH)} is not supported here")
+
+
+def members(head, about: dict):
+    """Terms of an RDF collection."""
+    if isinstance(head, ListTerm):
+        yield from head.items
+        return
+    seen = set()
+    while head != IRI(NIL):
+        links = dict(about.get(head, ()))
+        if head in seen or FIRST not in links or REST not in links:
+            raise ValueError("sh:in needs a well-formed list")
+        seen.add(head)
+        yield links[FIRST]
+        head = links[REST]
+
+
 def shapes_from(triples: list[tuple]) -> list[NodeShape]:
-    """Shapes read from RDF triples; a document without shapes is refused."""
+    """Shapes read from RDF triples; a document without shapes, or with constraints that are not checked, is refused."""
     about: dict = {}
     for s, p, o in triples:
         about.setdefault(s, []).append((p.value, o))
@@ -297,14 +329,28 @@ def shapes_from(triples: list[tuple]) -> list[NodeShape]:
     out = []
     for node, pairs in about.items():
         targets = [(p, o) for p, o in pairs if p in (SH + "targetClass", SH + "targetNode")]
+        if targets:
+            refuse_unknown(pairs, ON_NODES)
         for p, target in targets:
             shape = NodeShape(target.value, None) if p.endswith("targetClass") else NodeShape(None, target.value)
             for q, prop in pairs:
                 if q != SH + "property":
                     continue
                 facts = dict(about.get(prop, ()))
+                refuse_unknown(about.get(prop, ()), ON_PROPERTIES)
+                if not isinstance(facts.get(SH + "path"), IRI):
+                    raise ValueError("a property shape needs a path that is one IRI")
                 path = facts[SH + "path"].value
+                if path in shape.properties:
+                    raise ValueError(f"two property shapes of one node shape have the path <{path}>")
                 made = PropertyShape(path)
+                if SH + "maxCount" in facts:
+                    made.max_count = int(facts[SH + "maxCount"].lexical)
+                if SH + "pattern" in facts:
+                    made.pattern = facts[SH + "pattern"].lexical, facts[SH + "flags"].lexical if SH + "flags" in facts else ""
+                if SH + "in" in facts:
+                    made.among = tuple(members(facts[SH + "in"], about))
+                made.has_values = tuple(o for k, o in about.get(prop, ()) if k == SH + "hasValue")
                 if SH + "minCount" in facts:
                     made.min_count = int(facts[SH + "minCount"].lexical)
                 if SH + "datatype" in facts:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.literals import CANONICAL, canonical
-from graphloom.plans.rdf import LANG_STRING, TYPE
+from graphloom.plans.rdf import LANG_STRING, TYPE, nt
+from graphloom.plans.typed import plain_text
 from graphloom.sparql.dataset import parsed
 
 from .shapes import NodeShape, PropertyShape
@@ -44,6 +45,20 @@ def property_findings(triples: DataFrame, focus: DataFrame, p: PropertyShape) ->
             few = focus.join(counts.select("focus"), "focus", "left_anti")
         out.append(say(few.withColumn("value", F.lit(None).cast("string")), "minCount"))
     values = own.join(focus, "focus", "left_semi")
+    if p.max_count is not None:
+        many = values.groupBy("focus").count().filter(F.col("count") > p.max_count)
+        out.append(say(many.select("focus", F.lit(None).cast("string").alias("value")), "maxCount"))
+    for term in p.has_values:
+        missing = focus.join(own.filter(F.col("value") == nt(term)).select("focus"), "focus", "left_anti")
+        out.append(say(missing.select("focus", F.lit(None).cast("string").alias("value")), "hasValue"))
+    if p.among is not None:
+        out.append(say(values.filter(~F.col("value").isin(*[nt(t) for t in p.among])), "in"))
+    if p.pattern is not None:
+        expression, flags = p.pattern
+        if set(flags) - set("imsx"):
+            raise ValueError(f"flags of a pattern: {flags!r}")
+        fits = F.regexp_like(plain_text(parsed(F.col("value"))), F.lit(f"(?{flags}){expression}" if flags else expression))
+        out.append(say(values.filter(~F.coalesce(fits, F.lit(False))), "pattern"))
     if p.node_kinds == {"lit"} and len(p.datatypes) == 1:
         out.append(say(values.filter(~F.coalesce(ok_literal(next(iter(p.datatypes))), F.lit(False))), "datatype"))
     elif p.node_kinds and len(p.node_kinds) < 3:

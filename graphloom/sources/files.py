@@ -42,8 +42,9 @@ def read_table(spark: SparkSession, path: str, **csv_options) -> DataFrame:
 
 def read_ntriples(spark: SparkSession, *paths: str) -> DataFrame:
     """N-Triples or N-Quads files as subject, predicate, object; split by Spark, no driver work."""
-    lines = spark.read.text(list(paths))
-    parts = lines.filter(F.regexp_like("value", F.lit(LINE)))
+    lines = spark.read.text(list(paths)).filter(~F.regexp_like("value", F.lit(r"^\s*(#.*)?\z")))
+    bad = F.raise_error(F.concat(F.lit("not a line of N-Triples or N-Quads: "), F.substring("value", 1, 300))).cast("string")
+    parts = lines.select(F.when(F.regexp_like("value", F.lit(LINE)), F.col("value")).otherwise(bad).alias("value"))
     return parts.select(*[F.regexp_extract("value", LINE, i).alias(c) for i, c in enumerate(("subject", "predicate", "object"), 1)])
 
 

@@ -8,14 +8,14 @@ from isomorphism import same
 
 from graphloom.api import Mapping
 from graphloom.bottr.h2 import QueryRefused, parse_select, read_select, records
-from graphloom.bottr.maps import MapError, endpoint_rows, parse_maps, run_maps
+from graphloom.bottr.maps import MapError, bad_brackets, endpoint_rows, parse_maps, run_maps, split_brackets
 from graphloom.cli import main, ordered
 from graphloom.operators import write as sinks
-from graphloom.plans.rdf import XSD, parse_ntriples
+from graphloom.plans.rdf import XSD, nt, parse_ntriples
 from graphloom.shacl.shapes import shapes_from, turtle
 from graphloom.shacl.validate import conforms, validate
 from graphloom.sources.csv import read_csv
-from graphloom.sources.files import read_arrow, read_rdf
+from graphloom.sources.files import read_arrow, read_ntriples, read_rdf
 from graphloom.sources.rows import number_rows, split_column
 from graphloom.sparql.syntax import parse_turtle
 from graphloom.streaming import stream_triples
@@ -203,3 +203,62 @@ def test_cli(spark, tmp_path, capsys):
     assert main(["expand", "-l", lib, str(tmp_path / "i.stottr"), "--format", "turtle"]) == 0 and "a ex:C" in capsys.readouterr().out
     assert main(["run", "-q", str(tmp_path / "missing.rq"), "-i", csv]) == 1
     assert ordered(["run", "--dedup", "-i", "x"]) == ["run", "-i", "x", "--dedup"] and ordered(["--test", "3", "-i", "x"]) == ["--test", "3", "-i", "x"]
+
+
+SHAPES = """@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix ex: <http://example.com/ns#> .
+ex:S a sh:NodeShape ; sh:targetClass ex:T ; sh:property [ sh:path ex:v ; %s ] ."""
+
+
+@pytest.mark.parametrize(
+    ("constraint", "broken"),
+    [("sh:maxCount 1", {("maxCount", None)}), ("sh:in ( 'a' 'b' )", {("in", '"c d"')}), ("sh:pattern '^[a-c]$'", {("pattern", '"c d"')}), ("sh:pattern '^[A-C]( D)?$' ; sh:flags 'i'", set()), ("sh:hasValue 'a'", set()), ("sh:hasValue 'z'", {("hasValue", None)})],
+)
+def test_shapes_that_users_write(spark, constraint, broken):
+    graph = read_turtle_text(spark, "ex:x a ex:T ; ex:v 'a' , 'c d' . ex:y ex:v 'q' .")
+    found = validate(graph, shapes_from(parse_turtle(SHAPES % constraint)[0])).collect()
+    assert {(r.constraint, r.value) for r in found} == broken and all(r.focus == "<http://example.com/ns#x>" for r in found)
+
+
+@pytest.mark.parametrize("constraint", ["sh:minLength 3", "sh:or ( [ sh:datatype ex:a ] )", "sh:node ex:Other", "sh:minCount 1 ; sh:lessThan ex:w"])
+def test_constraints_that_are_not_checked_are_refused(constraint):
+    with pytest.raises(ValueError, match="not supported"):
+        shapes_from(parse_turtle(SHAPES % constraint)[0])
+
+
+def read_turtle_text(spark, text):
+    triples, _ = parse_turtle("@prefix ex: <http://example.com/ns#> . " + text)
+    return spark.createDataFrame([tuple(nt(t) for t in x) for x in triples], "subject string, predicate string, object string")
+
+
+@pytest.mark.parametrize(
+    ("cell", "items"),
+    [
+        ("a; b", ["a", "b"]), ("", [""]), ("(a; b)", ["a", "b"]), ("()", []), ("(a; (b; c); d)", ["a", ["b", "c"], "d"]), ("((a);(b))", [["a"], ["b"]]), ("( () )", [[]]), ("(a, b)", ["a, b"]),
+        ("(a", None), ("a)", None), ("(a)(b)", None), ("(a) b", None), ("x (a)", None), (")(", None),
+    ],
+)
+def test_brackets_of_list_cells(spark, cell, items):
+    from pyspark.sql import functions as F
+
+    bad = spark.range(1).select(bad_brackets(F.lit(cell)).alias("bad")).first().bad
+    assert bad is (items is None)
+    if items is not None:
+        assert split_brackets(cell, ";") == items
+        assert split_brackets(cell.replace(";", " || "), "||") == items
+
+
+def test_malformed_ntriples_lines_are_errors(spark, tmp_path):
+    (tmp_path / "a.nt").write_text("# a comment\n\n<http://a> <http://b> \"c\" .\n")
+    assert read_ntriples(spark, str(tmp_path / "a.nt")).count() == 1
+    (tmp_path / "b.nt").write_text("<http://a> <http://b> c .\n")
+    with pytest.raises(Exception, match="not a line"):
+        read_ntriples(spark, str(tmp_path / "b.nt")).collect()
+
+
+def test_run_reads_standard_input(spark, tmp_path, monkeypatch):
+    import io
+
+    (tmp_path / "q.rq").write_text("PREFIX ex: <http://example.com/ns#> CONSTRUCT { ?s ex:v ?b } WHERE { BIND(IRI(CONCAT('http://example.com/', ?a)) AS ?s) }")
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b"a,b\n1,x\n2,y\n")))
+    assert main(["run", "-q", str(tmp_path / "q.rq"), "-o", str(tmp_path / "o.nt")]) == 0
+    assert sorted((tmp_path / "o.nt").read_text().splitlines()) == ['<http://example.com/1> <http://example.com/ns#v> "x" .', '<http://example.com/2> <http://example.com/ns#v> "y" .']
