@@ -100,6 +100,34 @@ def swept(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def row_hashes() -> tuple[Column, Column]:
+    """Two hashes of a document."""
+    return F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(7), "doc_id", "text")
+
+
+def clashes(keys: DataFrame) -> list[int]:
+    """Of (key, check) rows, the keys that stand for several checks.
+
+    Keys are 64-bit hashes: for n different documents about n * n / 2**65 are expected, 3 for 10**10.
+    """
+    several = keys.groupBy("key").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a <> b")
+    return [r.key for r in several.select("key").collect()]
+
+
+def moved(key: Column, check: Column, clash: list[int]) -> Column:
+    """``key``, or ``check`` where the key stands for several."""
+    return F.when(key.isin(clash), check).otherwise(key) if clash else key
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A long per document (doc_id, text): equal for repeated rows, and different for different ones.
+
+    A hash; where two documents share one (found with one scan), their second hashes take its place.
+    """
+    key, check = row_hashes()
+    return moved(key, check, clashes(docs.select(key.alias("key"), check.alias("check"))))
+
+
 def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     """Null-safe equality on the named columns."""
     cond = F.lit(True)

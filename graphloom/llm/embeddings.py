@@ -52,10 +52,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     good = F.expr(
         "coalesce(label is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x != 0), false)"
     )
-    own = vectors.select("vec_id", "label", "embedding", good.alias("good")).withColumn("class", F.when(F.col("good"), F.xxhash64("label", "embedding")))
-    classes = durable(
-        own.filter("good").groupBy("class", "label", "embedding").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least")), "classes"
-    )
+    own = vectors.select("vec_id", "label", "embedding", good.alias("good"))
+    own = own.withColumn("h1", F.when(F.col("good"), F.xxhash64("label", "embedding"))).withColumn("h2", F.when(F.col("good"), F.xxhash64(F.lit(7), "label", "embedding")))
+    classes = own.filter("good").groupBy("h1", "h2", "label", "embedding").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
+    # ids are given as the table is written, so they cannot clash; members find their class by 128 bits
+    classes = durable(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     bits, tables = plan(classes.count(), threshold, miss)
 
     def sign(batches):
@@ -165,13 +166,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     release(signed)
     beyond = found.filter("n is not null").groupBy(F.col("src").alias("class")).agg(F.sum("n").alias("beyond"))
     member = connected_components(found.filter("n is null").select("src", "dst")).select(F.col("id").alias("class"), "component")
-    info = classes.select("class", "copies", "least").join(member, "class", "left").join(beyond, "class", "left")
+    info = classes.select("class", "h1", "h2", "copies", "least").join(member, "class", "left").join(beyond, "class", "left")
     info = info.withColumn("component", F.coalesce("component", "class"))
     roots = info.groupBy("component").agg(F.min("least").alias("component_id"))
     info = durable(
-        info.join(roots, "component").select("class", (F.col("copies") - 1 + F.coalesce("beyond", F.lit(0))).cast("long").alias("n_links"), "component_id"), "info"
+        info.join(roots, "component").select("h1", "h2", (F.col("copies") - 1 + F.coalesce("beyond", F.lit(0))).cast("long").alias("n_links"), "component_id"), "info"
     )
-    out = own.select("vec_id", "class").join(info, "class", "left")
+    out = own.select("vec_id", "h1", "h2").join(info, ["h1", "h2"], "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).cast("long")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 

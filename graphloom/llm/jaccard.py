@@ -15,7 +15,8 @@ Two measures keep groups of copies and shared passages from giving all pairs:
   prefix of documents that have other text.  The order is free: any order gives the same
   links, so the list of frequent columns may be bounded without loss.
 
-Shingles are 64-bit hashes of word hashes; a class id is 64 bits of its set's 128-bit hash.
+Shingles are 64-bit hashes of word hashes; a class id is the lower half of its set's 128-bit hash, or the upper one
+where several sets share the lower one.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cached, connected_components, durable, maybe_in, maybe_mark, release, swept, text_slices, without
+from .common import cached, clashes, connected_components, durable, maybe_in, maybe_mark, moved, release, row_key, swept, text_slices, without
 
 WORDS = 5
 PERCENT = 80
@@ -95,39 +96,52 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
-def class_ids(sets: list[np.ndarray]) -> list[int]:
-    return [int(np.uint64(xxhash.xxh3_128_intdigest(s.tobytes()) & (2**64 - 1)).view(np.int64)) if len(s) else 0 for s in sets]
+def set_hash(s: np.ndarray) -> tuple[int, int]:
+    """(lower, upper) half of a set's hash."""
+    upper, lower = divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 2**64)
+    return int(np.uint64(lower).view(np.int64)), int(np.uint64(upper).view(np.int64))
+
+
+def class_ids(sets: list[np.ndarray], clash: frozenset[int]) -> list[int]:
+    halves = [set_hash(s) if len(s) else (0, 0) for s in sets]
+    return [upper if lower in clash else lower for lower, upper in halves]
 
 
 def profile(batches):
-    """(doc_id, row, text) -> (doc_id, row, n, class, prefix under the hash order)."""
+    """(doc_id, row, text) -> (doc_id, row, n, class and check: the halves of the set's hash, prefix under the hash order)."""
     for batch in batches:
         for a, b, texts in text_slices(batch.column(2)):
             sets = shingle_sets(texts)
             n = np.array([len(s) for s in sets], np.int64)
             keep = n - needed(n) + 1
             prefix = [s[: max(0, k)] if len(s) else s for s, k in zip(sets, keep.tolist(), strict=True)]
+            halves = [set_hash(s) if len(s) else (0, 0) for s in sets]
+            lower, upper = (pa.array([h[k] for h in halves], pa.int64()) for k in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array(class_ids(sets), pa.int64()), lists(prefix)],
-                ["doc_id", "row", "n", "class", "prefix"],
+                [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), lower, upper, lists(prefix)],
+                ["doc_id", "row", "n", "class", "check", "prefix"],
             )
 
 
-def whole_sets(batches):
+def whole_sets(clash: frozenset[int]):
     """(text) -> (class, whole set)."""
-    for batch in batches:
-        for _, _, texts in text_slices(batch.column(0)):
-            sets = shingle_sets(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(class_ids(sets), pa.int64()), lists(sets)], ["class", "shingles"])
+
+    def run(batches):
+        for batch in batches:
+            for _, _, texts in text_slices(batch.column(0)):
+                sets = shingle_sets(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(class_ids(sets, clash), pa.int64()), lists(sets)], ["class", "shingles"])
+
+    return run
 
 
-def sets_of(classes: DataFrame, need: DataFrame, texts: DataFrame) -> DataFrame:
+def sets_of(classes: DataFrame, need: DataFrame, texts: DataFrame, clash: frozenset[int]) -> DataFrame:
     """(class, whole set), each class once, for at least the classes needed; ``classes`` names a row for each.
 
     The scan keeps rows whose key passes a bounded bitmap, and their sets meet by class: texts cross no shuffle.
     """
     rows = classes.select("class", "row").join(need, "class", "left_semi").select("row")
-    found = maybe_in(texts, texts["row"], rows).select("text").mapInArrow(whole_sets, "class long, shingles array<long>")
+    found = maybe_in(texts, texts["row"], rows).select("text").mapInArrow(whole_sets(clash), "class long, shingles array<long>")
     return found.groupBy("class").agg(F.first("shingles").alias("shingles"))
 
 
@@ -149,7 +163,7 @@ def has_any(prefix: pa.ListArray, frequent: np.ndarray) -> np.ndarray:
 
 def repeated_columns(batches):
     """(text) -> columns that at least two different sets of this task have, with their counts."""
-    classes: set[int] = set()
+    classes: set[tuple[int, int]] = set()
     values, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
     new: list[np.ndarray] = []
 
@@ -163,7 +177,8 @@ def repeated_columns(batches):
     for batch in batches:
         for _, _, texts in text_slices(batch.column(0)):
             sets = shingle_sets(texts)
-            for c, s in zip(class_ids(sets), sets, strict=True):
+            for s in sets:
+                c = set_hash(s)
                 if len(s) and c not in classes:
                     classes.add(c)
                     new.append(s)
@@ -181,7 +196,7 @@ def among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-def reordered(frequent: np.ndarray, counts: np.ndarray):
+def reordered(frequent: np.ndarray, counts: np.ndarray, clash: frozenset[int]):
     """(text) -> (class, n, rare, often): prefixes with frequent columns last, rarer ones of them first, for texts whose hash prefix has one."""
 
     def run(batches):
@@ -198,7 +213,7 @@ def reordered(frequent: np.ndarray, counts: np.ndarray):
                     first, last = s[~hot][:keep], s[hot]
                     last = last[np.argsort(counts[np.searchsorted(frequent, last)], kind="stable")]
                     sets.append(s), n.append(len(s)), rare.append(first), often.append(last[: keep - len(first)])
-                yield pa.RecordBatch.from_arrays([pa.array(class_ids(sets), pa.int64()), pa.array(n, pa.int64()), lists(rare), lists(often)], ["class", "n", "rare", "often"])
+                yield pa.RecordBatch.from_arrays([pa.array(class_ids(sets, clash), pa.int64()), pa.array(n, pa.int64()), lists(rare), lists(often)], ["class", "n", "rare", "often"])
 
     return run
 
@@ -367,7 +382,7 @@ def dense_product(batches):
     yield from flush()
 
 
-def dense_links(hot: DataFrame, classes: DataFrame, texts: DataFrame, size: int = 512) -> DataFrame:
+def dense_links(hot: DataFrame, classes: DataFrame, texts: DataFrame, clash: frozenset[int], size: int = 512) -> DataFrame:
     """Links between components among sets whose prefixes reach into frequent columns (class, component, often).
 
     Sets that hang together through such columns form one block.  A block is dealt out as pairs of
@@ -382,7 +397,7 @@ def dense_links(hot: DataFrame, classes: DataFrame, texts: DataFrame, size: int
     member = durable(hot.select("class", "component").join(block, "class"), "member")
     parts = member.groupBy("block").agg(F.count(F.lit(1)).alias("g")).filter("g > 1").select("block", F.ceil(F.col("g") / size).cast("int").alias("k"))
     placed = member.join(parts, "block").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("k")).cast("int"))
-    sets = durable(sets_of(classes, placed.select("class"), texts), "sets")
+    sets = durable(sets_of(classes, placed.select("class"), texts, clash), "sets")
     dealt = placed.withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
     dealt = dealt.select("block", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "class", "component").join(sets, "class")
     group = ["block", "low", "high"]
@@ -393,14 +408,14 @@ def dense_links(hot: DataFrame, classes: DataFrame, texts: DataFrame, size: int
     return links
 
 
-def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, clash: frozenset[int]) -> DataFrame:
     """Pairs of classes whose whole sets have Jaccard >= 0.8.
 
     One text of every class needed is read again.  A pair meets at its src; a src with many partners is split over salts.
     """
     spark = pairs.sparkSession
     need = pairs.select(F.col("src").alias("class")).union(pairs.select(F.col("dst").alias("class"))).distinct()
-    sets = durable(sets_of(classes, need, texts), "sets")
+    sets = durable(sets_of(classes, need, texts, clash), "sets")
     fan = pairs.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("fan"))
     salted = pairs.join(fan, "src").select("src", "dst", F.pmod(F.xxhash64("dst"), F.col("fan")).cast("int").alias("salt"))
     partners = salted.join(sets, salted["dst"] == sets["class"]).select("src", "salt", F.lit(1).alias("tag"), "dst", "shingles")
@@ -423,12 +438,13 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     Rows without words are all kept.  Only rows that leave, and rows that occur more than once, are joined or shuffled.
     """
     key = "_gl_row"
-    found = durable(vertices(docs).select("doc_id", "row", "n", "root"), "vertices")
+    own = row_key(docs)
+    found = durable(vertices(docs, row=own).select("doc_id", "row", "n", "root"), "vertices")
     linked = found.filter("n > 0")
     best = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("b"), F.count(F.lit(1)).alias("size"))
     gone = linked.join(best.filter("size > 1").select("root", F.col("b.row").alias("stays")), "root").filter("row != stays").select("row").distinct()
     again = durable(linked.groupBy("row").count().filter("count > 1").select("row"), "again")
-    kept = without(docs.withColumn(key, F.xxhash64("doc_id", "text")), F.col(key), durable(gone, "gone"))
+    kept = without(docs.withColumn(key, own), F.col(key), durable(gone, "gone"))
     marked = maybe_mark(kept, F.col(key), again, "_gl_again")
     # the bitmap is not exact: rows that occur once, or have no words, pass it as well
     unsure = marked.filter("_gl_again")
@@ -437,8 +453,8 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     return marked.filter("not _gl_again").select(*docs.columns).union(single.select(*docs.columns)).union(repeated.select(*docs.columns))
 
 
-def vertices(docs: DataFrame, frequent: int = FREQUENT, max_frequent: int = MAX_FREQUENT) -> DataFrame:
-    """doc_id, row (its 64-bit key), n, class, root (the component's class), component_id for every row of (doc_id, text).
+def vertices(docs: DataFrame, frequent: int = FREQUENT, max_frequent: int = MAX_FREQUENT, row: Column | None = None) -> DataFrame:
+    """doc_id, row (its ``row_key``, unless given), n, class, root (the component's class), component_id for every row of (doc_id, text).
 
     Every row is a vertex; rows with equal non-empty sets, and rows whose sets have 100 * intersection >=
     80 * union, are linked.  component_id is the smallest doc_id of the component (null doc_ids do not
@@ -446,12 +462,14 @@ def vertices(docs: DataFrame, frequent: int = FREQUENT, max_frequent: int = MAX_
     Other columns are ignored; an empty table gives an empty result.
     ``frequent`` and ``max_frequent`` only tune the order of columns; links do not depend on them.
     """
-    own = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    own = docs.select("doc_id", (row_key(docs) if row is None else row).alias("row"), "text")
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    rows = cached(own.mapInArrow(profile, f"doc_id {kind}, row long, n long, class long, prefix array<long>"))
+    rows = scanned = cached(own.mapInArrow(profile, f"doc_id {kind}, row long, n long, class long, check long, prefix array<long>"))
+    clash = frozenset(clashes(rows.filter("n > 0").select(F.col("class").alias("key"), "check")))
+    rows = rows.withColumn("class", moved(F.col("class"), F.col("check"), list(clash)))
     classes = durable(rows.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("row").alias("row")), "classes")
     known_rows = durable(rows.select("doc_id", "row", "n", "class"), "rows")
-    rows.unpersist()
+    scanned.unpersist()
     rows, full = known_rows, known_rows.filter("n > 0")
     texts = own.select("row", "text")
 
@@ -463,7 +481,7 @@ def vertices(docs: DataFrame, frequent: int = FREQUENT, max_frequent: int = MAX_
     near = low.join(centre, ["token", "band"]).filter(f"class != src and 100 * least(n, cn) >= {PERCENT} * greatest(n, cn)")
     near = near.groupBy("src", F.col("class").alias("dst")).agg(F.count(F.lit(1)).alias("shared"), F.first("p").alias("p")).filter(f"4 * shared >= least(p, {BOTTOM})")
     near = durable(near.select("src", "dst"), "near")
-    first = verify(near, classes, texts)
+    first = verify(near, classes, texts, clash)
     part = durable(connected_components(first).withColumnRenamed("id", "class"), "parts")
     release(near, first)
     swept(spark)
@@ -483,7 +501,7 @@ def vertices(docs: DataFrame, frequent: int = FREQUENT, max_frequent: int = MAX_
     kept = classes.mapInArrow(untouched(listed), "class long, n long, prefix array<long>").select("class", "n", F.col("prefix").alias("rare"), F.array().cast("array<long>").alias("often"))
     if len(listed):
         reach = durable(classes.select("row", "prefix").mapInArrow(touched(listed), "row long"), "reach")
-        changed = maybe_in(texts, texts["row"], reach).select("text").mapInArrow(reordered(listed, counts), "class long, n long, rare array<long>, often array<long>")
+        changed = maybe_in(texts, texts["row"], reach).select("text").mapInArrow(reordered(listed, counts, clash), "class long, n long, rare array<long>, often array<long>")
         kept = kept.union(changed.groupBy("class").agg(F.first("n"), F.first("rare"), F.first("often")))
     known = kept.join(part, "class", "left").withColumn("component", F.coalesce("component", "class"))
     columns = known.select("class", "n", F.size("often").cast("long").alias("h"), "component", "rare")
@@ -495,11 +513,11 @@ def vertices(docs: DataFrame, frequent: int = FREQUENT, max_frequent: int = MAX_
     counted = dealt.mapInArrow(block_product, "src long, dst long, bound long").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("shared"), F.first("bound").alias("bound"))
     pairs = counted.filter("shared >= bound").select("src", "dst")
     pairs = durable(pairs, "pairs")
-    second = verify(pairs, classes, texts)
+    second = verify(pairs, classes, texts, clash)
     release(pairs)
     swept(spark)
     if len(listed):
-        second = second.union(dense_links(known.filter("size(often) > 0").select("class", "component", "often"), classes, texts))
+        second = second.union(dense_links(known.filter("size(often) > 0").select("class", "component", "often"), classes, texts, clash))
 
     links = part.filter("class != component").select(F.col("class").alias("src"), F.col("component").alias("dst")).union(second)
     member = connected_components(links).select(F.col("id").alias("class"), F.col("component").alias("root"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cached, durable, give_back, maybe_in, maybe_mark, split_hot
+from .common import cached, durable, give_back, maybe_in, maybe_mark, row_key, split_hot
 
 WIDTH = 400
 GRAM = 32
@@ -326,7 +326,7 @@ def window_hashes(width: int):
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    return docs.select("doc_id", row_key(docs).alias("row"), "text")
 
 
 def repeated_windows(own: DataFrame, width: int = WIDTH, many: int = MANY) -> DataFrame:
@@ -438,7 +438,7 @@ def clean(docs: DataFrame, width: int = WIDTH, words: int = 0) -> DataFrame:
     between ASCII white space) or ``WIDTH`` bytes or more.  Spans shrink to whole characters, so the text stays valid; a text that is removed entirely becomes empty.
     """
     row = "_gl_row"
-    kept = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    kept = docs.withColumn(row, row_key(docs))
     spans = removal_spans(kept.select(F.col(row).alias("row"), "text"), width)
 
     @F.arrow_udf("string")

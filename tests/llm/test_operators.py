@@ -578,6 +578,41 @@ def test_key_filter(spark):
     assert common.maybe_in(df, F.col("k"), keys).count() < 160
 
 
+@pytest.fixture
+def weak_row_hashes(monkeypatch):
+    """Most documents share the first hash with another one."""
+    monkeypatch.setattr(common, "row_hashes", lambda: (F.pmod(F.xxhash64("doc_id", "text"), F.lit(64)), F.xxhash64(F.lit(7), "doc_id", "text")))
+
+
+def test_row_keys_tell_documents_apart(spark, docs, weak_row_hashes):
+    key, _ = common.row_hashes()
+    different = docs.select("doc_id", "text").distinct().count()
+    assert docs.select(key.alias("k")).distinct().count() < different
+    assert docs.select(common.row_key(docs).alias("k")).distinct().count() == different
+    assert docs.select("doc_id", "text", common.row_key(docs).alias("k")).distinct().count() == different
+    assert empty(spark).select(common.row_key(empty(spark))).count() == 0
+
+
+def test_results_do_not_depend_on_row_hashes(spark, docs, weak_row_hashes):
+    test_suffix_documents(spark, docs)
+    test_first_of_each(spark, docs)
+
+
+def test_jaccard_with_sets_that_share_half_a_hash(spark, monkeypatch):
+    from pyspark import cloudpickle
+
+    whole = jaccard.set_hash
+    monkeypatch.setattr(jaccard, "set_hash", lambda s: (whole(s)[0] % 64, whole(s)[1]))
+    seen = []
+    monkeypatch.setattr(jaccard, "clashes", lambda keys: seen.append(common.clashes(keys)) or seen[-1])
+    cloudpickle.register_pickle_by_value(jaccard)  # so that the workers get the weak hash too
+    try:
+        test_jaccard(spark, 3)
+    finally:
+        cloudpickle.unregister_pickle_by_value(jaccard)
+    assert seen[0]
+
+
 def test_gapless_index_of_a_hot_group(spark):
     df = spark.range(5000).select((F.col("id") % 3 == 0).cast("int").alias("g"), F.when(F.col("id") % 2 == 0, F.lit(1)).alias("o"))
     out = common.gapless_index(df, ["g"], ["o"], "i").collect()
