@@ -172,19 +172,21 @@ def suffix_order(symbols: np.ndarray, group: np.ndarray, depth: int) -> tuple[np
     return order, rank
 
 
-def match_length(symbols: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Common prefix lengths of suffix pairs; a 0 symbol ends a text."""
-    out = np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
-    step = np.arange(32)
+def match_length(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int = 1 << 14) -> np.ndarray:
+    """Common prefix lengths of suffix pairs; a 0 symbol ends a text.  ``limit`` pairs at a time bound the memory."""
+    out = np.zeros(len(a), np.int32)
+    step = np.arange(32, dtype=np.int32)
     padded = np.concatenate([symbols, np.zeros(64, symbols.dtype)])
-    while len(live):
-        x = padded[(a[live] + out[live])[:, None] + step]
-        y = padded[(b[live] + out[live])[:, None] + step]
-        bad = (x != y) | (x == 0)
-        stop = bad.any(axis=1)
-        out[live] += np.where(stop, bad.argmax(axis=1), 32)
-        live = live[~stop]
+    for i in range(0, len(a), limit):
+        left, right, length = a[i : i + limit], b[i : i + limit], out[i : i + limit]
+        live = np.arange(len(left))
+        while len(live):
+            x = padded[(left[live] + length[live])[:, None] + step]
+            y = padded[(right[live] + length[live])[:, None] + step]
+            bad = (x != y) | (x == 0)
+            stop = bad.any(axis=1)
+            length[live] += np.where(stop, bad.argmax(axis=1), 32).astype(np.int32)
+            live = live[~stop]
     return out
 
 
