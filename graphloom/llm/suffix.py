@@ -32,7 +32,7 @@ from .common import cached, durable, give_back, maybe_in, maybe_mark, row_key, s
 
 WIDTH = 400
 GRAM = 32
-SEGMENT = 2 << 20
+SEGMENT = 1 << 19
 BATCH = 1 << 19
 MANY = 4096  # contexts of about 600 bytes: an index of 2.5 MB
 PAD = 64
@@ -294,6 +294,7 @@ def compare_contexts(width: int):
                     if (out := settle(held)) is not None:
                         yield out
                     held, size = [], 0
+                    give_back()
                 held.append(item)
                 size += len(item[5])
             give_back()
