@@ -29,11 +29,14 @@ _own_folder: list[str] = []
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the package and, unless the session chose its own, make Arrow batches small: whole texts are long rows."""
+    """Ship the package and, unless the session chose its own, make Arrow batches small (2000 rows, 2 MB): whole texts are long rows."""
     ship(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, "2000")
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, "2097152")
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -161,33 +161,49 @@ def has_any(prefix: pa.ListArray, frequent: np.ndarray) -> np.ndarray:
     return np.bincount(np.repeat(np.arange(len(sizes)), sizes)[hot], minlength=len(sizes)) > 0
 
 
-def repeated_columns(batches):
-    """(text) -> columns that at least two different sets of this task have, with their counts."""
+def add_counts(values: np.ndarray, counts: np.ndarray, new: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted values with counts, after the values of ``new`` were counted too; merged in place of sorting all again."""
+    every = np.sort(np.concatenate(new))
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+    here, n = every[first], np.diff(np.append(first, len(every))).astype(np.int32)
+    old = among(here, values)
+    counts[np.searchsorted(values, here[old])] += n[old]
+    at = np.searchsorted(values, here[~old])
+    return np.insert(values, at, here[~old]), np.insert(counts, at, n[~old])
+
+
+def repeated_columns(batches, limit: int = 1 << 21):
+    """(text) -> columns that at least two different sets of a run of texts have, with their counts.
+
+    A run ends with ``limit`` distinct columns, which bounds the memory; counts of several runs are to be added.
+    """
     classes: set[tuple[int, int]] = set()
-    values, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    values, counts = np.empty(0, np.uint64), np.empty(0, np.int32)
     new: list[np.ndarray] = []
+    waiting = 0
 
-    def merged():
-        every = np.concatenate([values, *new])
-        here, n = np.unique(every, return_inverse=True)
-        weights = np.concatenate([counts, np.ones(len(every) - len(values))])
-        return here, np.bincount(n, weights=weights, minlength=len(here)).astype(np.int64)
+    def found():
+        often = counts > 1
+        return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["token", "n"])
 
-    waiting = 0
     for batch in batches:
         for _, _, texts in text_slices(batch.column(0)):
-            sets = shingle_sets(texts)
-            for s in sets:
+            for s in shingle_sets(texts):
                 c = set_hash(s)
                 if len(s) and c not in classes:
                     classes.add(c)
                     new.append(s)
                     waiting += len(s)
-            if waiting > max(1_000_000, len(values)):
-                values, counts = merged()
-                new, waiting = [], 0
-    values, counts = merged()
-    yield pa.RecordBatch.from_arrays([pa.array(values[counts > 1].view(np.int64)), pa.array(counts[counts > 1])], ["token", "n"])
+                if waiting > max(limit // 8, len(values) // 2):
+                    values, counts = add_counts(values, counts, new)
+                    new, waiting = [], 0
+                    if len(values) > limit:
+                        yield found()
+                        values, counts = values[:0].copy(), counts[:0].copy()
+                        classes.clear()
+    if new:
+        values, counts = add_counts(values, counts, new)
+    yield found()
 
 
 def among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
