@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from graphloom.functions.literals import blank_to_null
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with its partitions settled, so that every later pass deals the rows alike.
+
+    Each plan of a shuffle samples other bounds of a sort's ranges, and adaptive execution joins
+    partitions by the columns that are read; plans over one RDD share its bounds, and the shuffle is run once.
+    Scans of files without buckets deal alike anyway and stay as they are, so their columns can be pruned.
+    """
+    execution = df._jdf.queryExecution()
+    if not any(x in execution.executedPlan().toString() for x in ("Exchange", "BatchScan", "Bucketed:")):
+        return df
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(execution.toRdd(), df._jdf.schema(), False), spark)
+
+
 def number_rows(df: DataFrame, name: str = "ROWNUM") -> DataFrame:
     """Add contiguous row numbers from 0 in the order of the partitions.
 
@@ -18,6 +32,7 @@ def number_rows(df: DataFrame, name: str = "ROWNUM") -> DataFrame:
     """
     if df.isStreaming:
         raise ValueError("rows of a stream cannot be numbered: map a key column instead")
+    df = settled(df)
     if df.rdd.getNumPartitions() <= 1:
         return df.withColumn(name, F.monotonically_increasing_id())
     tagged = df.withColumn("_gl_id", F.monotonically_increasing_id())

@@ -50,6 +50,25 @@ def test_rows(spark):
     assert split_column(df, "missing", "p", ",").filter("p is null").count() == 1000
 
 
+def test_row_numbers_of_moving_partitions(spark, tmp_path):
+    """Sorted and shuffled rows: both passes see the same partitions, whatever is sampled, joined or pruned."""
+    n = 400_009
+    rows = spark.range(0, n, 1, 3).selectExpr(f"id * 7919 % {n} as k", "md5(string(id)) as wide")
+    numbered = number_rows(rows.orderBy("k"), "n")
+    assert numbered.filter("n = k and length(wide) = 32").count() == n
+    assert numbered.filter("n = k").count() == n  # reads no wide column
+    descending = number_rows(rows.orderBy(rows.k.desc()).limit(n - 9), "n")
+    assert descending.filter(f"n = {n - 1} - k").count() == n - 9
+    spread = number_rows(rows.repartition(5, "k"), "n").agg({"n": "max", "*": "count"}).first()
+    assert sorted(spread) == [n - 1, n]
+    rows.limit(5000).write.bucketBy(4, "k").saveAsTable("gl_buckets", path=str(tmp_path / "b"))
+    try:
+        per_key = number_rows(spark.table("gl_buckets"), "n").groupBy("k").agg({"n": "max"}).toDF("k", "n")
+        assert sorted(r.n for r in per_key.collect()) == list(range(5000))
+    finally:
+        spark.sql("drop table gl_buckets")
+
+
 def test_arrow_and_rdf(spark, tmp_path):
     import pyarrow as pa
 
