@@ -3,7 +3,7 @@
 A byte is removed if a ``width``-byte string that covers it also starts somewhere else.
 
 1. Winnowing sends every window of ``width`` bytes to the anchor it contains: the smallest hash among its
-   ``GRAM``-byte grams (the last of equals).  Equal windows have equal anchors, wherever they
+   ``gram``-byte grams (the last of equals).  Equal windows have equal anchors, wherever they
    are.  A run of windows with one anchor place is a context; anchors are about ``width`` / 2 bytes apart.
 2. Contexts that are equal as a whole (128-bit hash) and occur twice are repeated; that settles
    most copies with counts alone.  The distinct contexts of an anchor go on.
@@ -14,6 +14,9 @@ A byte is removed if a ``width``-byte string that covers it also starts somewher
    ``width`` or more are marked.  (Indexes are per group of anchors, not one for the corpus: memory is bounded.)
    An anchor with very many distinct contexts is settled by counting its windows' 128-bit hashes.
 
+Passages of over ``WORDS`` words may be shorter than ``width``: ``remove_repeats`` counts them from strings of ``SHORT`` bytes,
+and looks for those of ``width`` only inside unbroken runs of them, which hold every one.
+
 Texts cross no shuffle, except those whose contexts are compared or that lose bytes.
 """
 
@@ -28,14 +31,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cached, durable, give_back, maybe_in, maybe_mark, row_key, split_hot
+from .common import cached, durable, give_back, maybe_in, maybe_mark, release, row_key, split_hot, swept
 
 WIDTH = 400
+SHORT = 150
+WORDS = 50
 GRAM = 32
 SEGMENT = 1 << 19
 BATCH = 1 << 19
 MANY = 4096  # contexts of about 600 bytes: an index of 2.5 MB
-PAD = 64
+BEYOND = 8  # symbols that the suffix order sees after a window
 
 _table = np.random.default_rng(4099).integers(1, 2**63, 256, np.int64).view(np.uint64)
 _factors = [np.uint64(x) for x in np.random.default_rng(4111).integers(1, 2**62, 32, np.int64) * 2 + 1]
@@ -55,16 +60,16 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int = WIDTH):
+def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int = WIDTH, gram: int = GRAM):
     """Contexts of the texts data[starts:ends]: (text number, anchor, first window, windows).
 
     ``data`` holds at most 2**24 bytes.
     """
-    w = width - GRAM + 1
+    w = width - gram + 1
     none = np.empty(0, np.int64)
     if len(data) < width:
         return none, none.view(np.uint64), none, none
-    h = mixed(power_hash(_table[data], GRAM))
+    h = mixed(power_hash(_table[data], gram))
     n = len(h)
     low = np.uint64((1 << 24) - 1)
     key = (h & ~low) | (low - np.arange(n, dtype=np.uint64))  # equal hashes: the last
@@ -117,21 +122,36 @@ def work_units(offsets: np.ndarray, width: int, limit: int = 1 << 18):
         i = j
 
 
-def anchors_of(width: int):
-    """(row, text) -> (row, anchor, first, windows, c1, c2)."""
+def gram_of(width: int) -> int:
+    """Long grams seldom meet by chance, so fewer contexts are compared; they stand closer together, so there are more rows."""
+    return max(GRAM, 1 << ((width // 2).bit_length() - 1))
+
+
+def only_spans(rows: np.ndarray, data: np.ndarray, offsets: np.ndarray, spans: list[list[dict]]):
+    """The spans as texts of their own: (rows, places in the whole texts, bytes, offsets)."""
+    cut = np.array([(i, s["since"], s["until"]) for i, found in enumerate(spans) for s in found], np.int64).reshape(-1, 3)
+    parts = [data[offsets[i] + a : offsets[i] + b] for i, a, b in cut.tolist()]
+    return rows[cut[:, 0]], cut[:, 1], np.concatenate([data[:0], *parts]), np.concatenate([[0], np.cumsum(cut[:, 2] - cut[:, 1])])
+
+
+def anchors_of(width: int, gram: int = GRAM):
+    """(row, text), or (row, text, spans) for these byte spans only -> (row, anchor, first, windows, c1, c2)."""
 
     def run(batches):
         for batch in batches:
             rows = batch.column(0).to_numpy()
             data, offsets = text_bytes(batch.column(1))
+            at = np.zeros(len(rows), np.int64)
+            if batch.num_columns > 2:
+                rows, at, data, offsets = only_spans(rows, data, offsets, batch.column(2).to_pylist())
             for i, starts, ends in work_units(offsets, width):
                 base = int(starts[0])
                 part = data[base : int(ends[-1])]
-                text, anchor, first, count = contexts(part, starts - base, ends - base, width)
+                text, anchor, first, count = contexts(part, starts - base, ends - base, width, gram)
                 raw = part.tobytes()
                 digest = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(first.tolist(), (first + count + width - 1).tolist(), strict=True)])
                 c = np.frombuffer(digest, np.int64).reshape(-1, 2)
-                local = first + base - offsets[i + text]
+                local = first + base - offsets[i + text] + at[i + text]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows[i + text]), pa.array(anchor.view(np.int64)), pa.array(local.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(c[:, 0]), pa.array(c[:, 1])],
                     ["row", "anchor", "first", "windows", "c1", "c2"],
@@ -142,12 +162,17 @@ def anchors_of(width: int):
 
 
 def suffix_order(symbols: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, ranks) of the text to at least ``depth`` symbols, groups apart; equal prefixes share a rank."""
+    """(suffix array, ranks) of the text to ``depth`` symbols, groups apart; equal prefixes share a rank."""
     n = len(symbols)
-    wide = np.concatenate([symbols, np.zeros(8, symbols.dtype)])
+    used = np.bincount(symbols, minlength=1) > 0
+    used[0] = True
+    dense = np.cumsum(used) - 1
+    bits = max(1, int(dense[-1]).bit_length())
+    done = min(63 // bits, depth)
+    wide = np.concatenate([dense[symbols], np.zeros(done, np.int64)])
     key = np.zeros(n, np.int64)
-    for j in range(7):
-        key <<= 9
+    for j in range(done):
+        key <<= bits
         key |= wide[j : j + n]
 
     def ranked(key):
@@ -157,18 +182,22 @@ def suffix_order(symbols: np.ndarray, group: np.ndarray, depth: int) -> tuple[np
         rank[order] = np.cumsum(np.append(1, key[1:] != key[:-1]), dtype=np.int32)
         return order.astype(np.int32), rank
 
+    def joined(first, *ahead):
+        key = first.astype(np.int64)
+        for r, distance in ahead:
+            key *= n + 1
+            key[: max(0, n - distance)] += r[distance:]
+        return key
+
+    most = 3 if (n + 1) ** 3 < 1 << 63 else 2  # ranks that fit into one key
     _, rank = ranked(key)
-    key = group.astype(np.int64)
-    key *= n + 1
-    key += rank
-    order, rank = ranked(key)
-    done = 7
+    size = min(depth, (most - 1) * done)
+    order, rank = ranked(joined(group, *[(rank, min(d, size - done)) for d in range(0, size, done)]))
+    done = size
     while done < depth and rank[order[-1]] < n:
-        key[:] = rank
-        key *= n + 1
-        key[: max(0, n - done)] += rank[done:]
-        order, rank = ranked(key)
-        done *= 2
+        size = min(depth, most * done)
+        order, rank = ranked(joined(rank, *[(rank, min(d, size - done)) for d in range(done, size, done)]))
+        done = size
     return order, rank
 
 
@@ -196,16 +225,19 @@ def repeated_starts(texts: list[bytes], groups: np.ndarray, width: int = WIDTH)
     Run-length index: the match with the suffix before (after) in order is sampled where the
     transform changes its symbol, and streamed along the text from there.
     """
-    sizes = np.array([len(t) + PAD for t in texts], np.int64)
+    # the order sees ``BEYOND`` symbols after a window: were they another group's text, two suffixes could be
+    # ordered otherwise than those a place before them, and matches would not stream
+    pad = BEYOND + 1
+    sizes = np.array([len(t) + pad for t in texts], np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
-    filler = bytes(PAD)
+    filler = bytes(pad)
     raw = np.frombuffer(b"".join(t + filler for t in texts), np.uint8)
     inside = np.ones(len(raw), bool)
-    for j in range(PAD):
+    for j in range(pad):
         inside[offsets[1:] - 1 - j] = False
     symbols = np.where(inside, raw.astype(np.int16) + 1, 0)
     group = np.repeat(np.asarray(groups, np.int32), sizes)
-    order, rank = suffix_order(symbols, group, width)
+    order, rank = suffix_order(symbols, group, width + BEYOND)
     n = len(symbols)
     count = np.bincount(rank, minlength=n + 2)
     tied = count[rank] > 1
@@ -230,7 +262,7 @@ def repeated_starts(texts: list[bytes], groups: np.ndarray, width: int = WIDTH)
         last[offsets[:-1]] = offsets[:-1]
         last = np.maximum.accumulate(last)
         found |= reach[last] - (place - last) >= width
-    left = np.repeat((offsets[1:] - PAD).astype(np.int32), sizes) - place
+    left = np.repeat((offsets[1:] - pad).astype(np.int32), sizes) - place
     return found & (left >= width), offsets
 
 
@@ -332,12 +364,18 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", row_key(docs).alias("row"), "text")
 
 
-def repeated_windows(own: DataFrame, width: int = WIDTH, many: int = MANY) -> DataFrame:
-    """(row, text) -> row, since, until: starts of windows that occur elsewhere too, as half-open ranges."""
+def repeated_windows(own: DataFrame, width: int = WIDTH, many: int = MANY, gram: int = GRAM, within: DataFrame | None = None, used: list | None = None) -> DataFrame:
+    """(row, text) -> row, since, until: starts of windows that occur elsewhere too, as half-open ranges.
+
+    ``within`` (row, spans): only windows inside these byte spans are looked at; no window may lie in two of them.
+    ``used`` collects the tables that nothing needs once the result is written.
+    """
     spark = own.sparkSession
     texts = own.select("row", "text")
     long = texts.filter(F.octet_length("text") >= width)
-    anchors = cached(long.mapInArrow(anchors_of(width), "row long, anchor long, first int, windows int, c1 long, c2 long"))
+    if within is not None:
+        long = maybe_in(long, F.col("row"), within.select("row")).join(within, "row").select("row", "text", "spans")
+    anchors = cached(long.mapInArrow(anchors_of(width, gram), "row long, anchor long, first int, windows int, c1 long, c2 long"))
     twice = durable(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "twice")
     live = durable(split_hot(maybe_in(anchors, F.col("anchor"), twice.select("anchor")), twice, ["anchor"]), "live")
     kinds = durable(live.groupBy("anchor", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "windows")).alias("x")), "kinds")
@@ -357,6 +395,8 @@ def repeated_windows(own: DataFrame, width: int = WIDTH, many: int = MANY) -> Da
     windows = pieces.filter("many").mapInArrow(window_hashes(width), "w1 long, w2 long, row long, since int").dropDuplicates(["w1", "w2", "row", "since"])
     windows = durable(windows, "windows")
     common = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
+    if used is not None:
+        used += [anchors, twice, live, kinds, wanted, pieces, windows]
     return marks.union(touching(windows.join(common, ["w1", "w2"]).select("row", "since")))
 
 
@@ -366,21 +406,32 @@ def touching(starts: DataFrame) -> DataFrame:
     return starts.withColumn("run", run).groupBy("row", "run").agg(F.min("since").alias("since"), (F.max("since") + 1).alias("until")).select("row", "since", "until")
 
 
-def chains(ranges: list[dict], width: int) -> list[tuple[int, int]]:
-    """Byte spans of unbroken runs of window starts."""
-    out: list[list[int]] = []
-    for a, b in sorted((r["since"], r["until"]) for r in ranges):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b + width - 1) for a, b in out]
+def unbroken(width: int):
+    """(row, ranges) -> (row, spans): byte spans of unbroken runs of window starts."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ranges = batch.column(1)
+            row = np.repeat(np.arange(batch.num_rows, dtype=np.int64) << 32, np.diff(ranges.offsets.to_numpy()))
+            since, until = (row + x.to_numpy() for x in ranges.flatten().flatten())
+            order = np.argsort(since)
+            since, until = since[order], np.maximum.accumulate(until[order])
+            first = np.flatnonzero(np.append(True, since[1:] > until[:-1]))
+            a, b = since[first], until[np.append(first[1:], len(since)) - 1]
+            offsets = np.append(0, np.cumsum(np.bincount(a >> 32, minlength=batch.num_rows)))
+            ends = [pa.array((x & 0xFFFFFFFF).astype(np.int32)) for x in (a, b + (width - 1))]
+            spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(ends, ["since", "until"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), spans], ["row", "spans"])
+
+    return run
 
 
-def merged_spans(ranges: list[dict], width: int) -> list[tuple[int, int]]:
-    """Byte spans covered by windows starting in the ranges."""
+def merged_spans(spans: list[dict]) -> list[tuple[int, int]]:
+    """The bytes that the spans cover, as maximal spans."""
     out: list[list[int]] = []
-    for a, b in sorted((r["since"], r["until"] + width - 1) for r in ranges):
+    for a, b in sorted((s["since"], s["until"]) for s in spans):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -388,35 +439,46 @@ def merged_spans(ranges: list[dict], width: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def passages(raw: np.ndarray, ranges: list[dict], width: int, words: int) -> list[tuple[int, int]]:
+def passages(raw: np.ndarray, spans: list[dict], words: int) -> list[tuple[int, int]]:
     """Byte spans of the repeated passages with over ``words`` words, or of ``WIDTH`` bytes or more."""
-    long = [(a, b) for a, b in chains(ranges, width) if b - a >= WIDTH or len(raw[a:b].tobytes().split()) > words]
-    return merged_spans([{"since": a, "until": b} for a, b in long], 1)
+    return merged_spans([s for s in spans if s["until"] - s["since"] >= WIDTH or len(raw[s["since"] : s["until"]].tobytes().split()) > words])
 
 
-def removal_spans(own: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(row, text) -> row, ranges (arrays of since, until), one row for each text that loses bytes."""
-    marks = repeated_windows(own, width)
-    return durable(marks.groupBy("row").agg(F.collect_set(F.struct("since", "until")).alias("ranges")), "spans")
+def removal_spans(own: DataFrame, width: int = WIDTH, gram: int = GRAM, within: DataFrame | None = None, used: list | None = None) -> DataFrame:
+    """(row, text) -> row, spans (bytes since, until of unbroken runs of repeated strings), one row for each text that has some."""
+    marks = repeated_windows(own, width, gram=gram, within=within, used=used)
+    ranges = marks.groupBy("row").agg(F.collect_set(F.struct("since", "until")).alias("ranges"))
+    return durable(ranges.mapInArrow(unbroken(width), "row long, spans array<struct<since:int,until:int>>"), "spans")
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row.
+def remove_repeats(docs: DataFrame, width: int = WIDTH, short: int = SHORT, words: int = WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_bytes for every row.
 
-    Null text: as empty.  Texts shorter than ``width``: untouched.  Repeated rows repeat each other.
+    Null text: as empty.  Texts shorter than ``width``: nothing removed.  Repeated rows repeat each other.
     Other columns are ignored; an empty table gives an empty result.  kept_sha256 is of the remaining bytes,
     which need not be valid UTF-8 (``clean`` keeps whole characters).
+
+    n_passages and passage_bytes count what ``clean(docs, short, words)`` would cut, by bytes: nothing of it is removed here
+    unless strings of ``width`` bytes cover it.  ``short`` is at most ``width``.
     """
-    own = keyed(docs)
-    spans = removal_spans(own, width)
+    own, used = keyed(docs), []
+    short = min(short, width)
+    near = removal_spans(own, short, gram_of(short), used=used)
+    for table in used:
+        table.unpersist()
+    release(*used)
+    swept(docs.sparkSession)
+    # the short strings in a repeated string of ``width`` bytes all repeat: it lies in one unbroken run
+    within = near.select("row", F.filter("spans", lambda s: s["until"] - s["since"] >= width).alias("spans")).filter(F.size("spans") > 0)
+    spans = removal_spans(own, width, gram_of(width), within)
 
     def cut(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            removed, runs, digests = [], [], []
-            for i, ranges in enumerate(batch.column(2).to_pylist()):
+            removed, runs, digests, several, covered = [], [], [], [], []
+            for i, (spans, other) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 raw, at, h = data[offsets[i] : offsets[i + 1]], 0, hashlib.sha256()
-                found = merged_spans(ranges, width)
+                found, long = merged_spans(spans or []), passages(raw, other, words)
                 for a, b in found:
                     h.update(raw[at:a].tobytes())
                     at = b
@@ -424,14 +486,19 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 removed.append(sum(b - a for a, b in found))
                 runs.append(len(found))
                 digests.append(h.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())], ["row", "n_removed", "n_spans", "kept"])
-
-    hit = maybe_in(own.select("row", "text"), F.col("row"), spans.select("row")).join(spans, "row").select("row", "text", "ranges")
-    changed = hit.mapInArrow(cut, "row long, n_removed long, n_spans long, kept string").dropDuplicates(["row"])
+                several.append(len(long))
+                covered.append(sum(b - a for a, b in long))
+            numbers = [pa.array(x, pa.int64()) for x in (removed, runs, several, covered)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(digests, pa.string())], ["row", "n_removed", "n_spans", "n_passages", "passage_bytes", "kept"])
+
+    both = near.withColumnRenamed("spans", "near").join(spans, "row", "left")
+    hit = maybe_in(own.select("row", "text"), F.col("row"), near.select("row")).join(both, "row").select("row", "text", "spans", "near")
+    changed = hit.mapInArrow(cut, "row long, n_removed long, n_spans long, n_passages long, passage_bytes long, kept string").dropDuplicates(["row"])
     base = own.select("doc_id", "row", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("whole"))
     out = base.join(changed, "row", "left")
     zero = F.lit(0).cast("long")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"))
+    number = {n: F.coalesce(n, zero).alias(n) for n in ("n_removed", "n_spans", "n_passages", "passage_bytes")}
+    return out.select("doc_id", "n_bytes", number["n_removed"], number["n_spans"], F.coalesce("kept", "whole").alias("kept_sha256"), number["n_passages"], number["passage_bytes"])
 
 
 def clean(docs: DataFrame, width: int = WIDTH, words: int = 0) -> DataFrame:
@@ -445,12 +512,12 @@ def clean(docs: DataFrame, width: int = WIDTH, words: int = 0) -> DataFrame:
     spans = removal_spans(kept.select(F.col(row).alias("row"), "text"), width)
 
     @F.arrow_udf("string")
-    def cut(text: pa.Array, ranges: pa.Array) -> pa.Array:
+    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
         data, offsets = text_bytes(text)
         out = []
-        for i, found in enumerate(ranges.to_pylist()):
+        for i, found in enumerate(spans.to_pylist()):
             raw, at, parts = data[offsets[i] : offsets[i + 1]], 0, []
-            for a, b in passages(raw, found, width, words) if found else []:
+            for a, b in passages(raw, found, words) if found else []:
                 while a < b and raw[a] & 0xC0 == 0x80:
                     a += 1
                 while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
@@ -462,11 +529,11 @@ def clean(docs: DataFrame, width: int = WIDTH, words: int = 0) -> DataFrame:
         return pa.array(out, pa.string())
 
     marked = maybe_mark(kept, F.col(row), spans.select("row"), "_gl_maybe")
-    some = marked.filter("_gl_maybe").join(spans.withColumnRenamed("row", "_gl_key").withColumnRenamed("ranges", "_gl_ranges"), F.col(row) == F.col("_gl_key"), "left")
-    text = F.when(F.col("_gl_ranges").isNull(), F.col("text")).otherwise(cut(F.coalesce("text", F.lit("")), "_gl_ranges"))
+    some = marked.filter("_gl_maybe").join(spans.withColumnRenamed("row", "_gl_key").withColumnRenamed("spans", "_gl_spans"), F.col(row) == F.col("_gl_key"), "left")
+    text = F.when(F.col("_gl_spans").isNull(), F.col("text")).otherwise(cut(F.coalesce("text", F.lit("")), "_gl_spans"))
     some = some.withColumn("text", text)
     if "n_chars" in docs.columns:
-        some = some.withColumn("n_chars", F.when(F.col("_gl_ranges").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        some = some.withColumn("n_chars", F.when(F.col("_gl_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return marked.filter("not _gl_maybe").select(*docs.columns).union(some.select(*docs.columns))
 
 

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from helpers import LOWER, corpus, frame, near_components, repeated_bytes, rows_by, runs
+from helpers import LOWER, corpus, frame, near_components, repeated_bytes, repeated_passages, rows_by, runs
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, common, embeddings, jaccard, langid, licenses, mixing, packing, quality, sharding, suffix
@@ -453,6 +453,34 @@ def test_suffix_documents(spark, docs):
     assert suffix.remove_repeats(empty(spark)).count() == 0
 
 
+def test_suffix_passages(spark):
+    """Passages of over 50 words that repeat are counted where they have under 400 bytes, too; only strings of 400 bytes are removed."""
+    import random
+
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(2, 7))) for _ in range(2000)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    short, long, pair = prose(60), prose(200), [prose(45), prose(45)]
+    assert len(short) < 400 < len(long)
+    texts = [prose(300) for _ in range(12)]
+    for i, passage in ((0, short), (1, short), (2, long), (3, long), (4, pair[0]), (5, pair[0])):
+        texts[i] = prose(100) + "\n" + passage + "\n" + prose(100)
+    texts[6] = prose(40) + "\n" + short + " " + pair[0] + " " + pair[1] + "\n" + prose(30) + "\n" + long[300:]
+    texts[7] = pair[0] + " " + pair[1] + " " + prose(80)
+    texts += [long[:600] + prose(20) + long[500:], None, "", texts[2]]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    rows += [rows[9]]  # a repeated row
+    raw = [(t or "").encode() for _, t, *_ in rows]
+    want = Counter()
+    for (d, *_), t, hit, near in zip(rows, raw, repeated_bytes(raw), repeated_passages(raw, 150, 50), strict=True):
+        want[d, len(t), sum(hit), runs(hit), hashlib.sha256(bytes(b for b, h in zip(t, hit, strict=True) if not h)).hexdigest(), runs(near), sum(near)] += 1
+    found = suffix.remove_repeats(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passages, r.passage_bytes) for r in found) == want
+    by = {r.doc_id: r for r in found}
+    assert all(by[i].n_removed == 0 and by[i].n_passages == 1 and by[i].passage_bytes >= len(short) for i in (0, 1))
+    assert by[2].n_removed > 0 and not any(by[i].n_passages for i in (4, 5, 8, 10, 11))
+
+
 @pytest.mark.parametrize("many", [2, 4096])
 def test_suffix_small_width_and_common_anchors(spark, many):
     """A short width meets all border cases; ``many`` = 2 settles anchors by counting windows."""
@@ -495,6 +523,27 @@ def test_run_length_index():
                 assert flags[o + i] == (i + width <= len(t) and count[g, t[i : i + width]] > 1)
 
 
+def test_run_length_index_of_groups():
+    """Whatever group's text comes next, a match that ends with its text is found (150: the order looks 224 symbols ahead)."""
+    import random
+
+    rng = random.Random(1)
+    for width in (150, 400, 115):
+        texts, groups = [], []
+        for g in range(60):
+            base = bytes(rng.choice(b"abcdefgh") for _ in range(width + 60))
+            for _ in range(4):
+                a = rng.randrange(50)
+                texts.append(bytes(rng.choice(b"abcdefgh") for _ in range(rng.randrange(9))) + base[a : rng.randrange(a + width, len(base) + 1)])
+                groups.append(g)
+        order = rng.sample(range(len(texts)), len(texts))
+        texts, groups = [texts[i] for i in order], [groups[i] for i in order]
+        flags, offsets = suffix.repeated_starts(texts, np.array(groups), width)
+        count = Counter((g, t[i : i + width]) for g, t in zip(groups, texts, strict=True) for i in range(len(t) - width + 1))
+        for t, g, o in zip(texts, groups, offsets, strict=False):
+            assert flags[o : o + len(t)].tolist() == [i + width <= len(t) and count[g, t[i : i + width]] > 1 for i in range(len(t))]
+
+
 def test_clean(spark, docs):
     out = suffix.clean(docs)
     assert out.columns == docs.columns and out.count() == len(ROWS)
